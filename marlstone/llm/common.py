@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,3 +100,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if unfinished.isEmpty():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Words this process has hashed, up to KNOWN of them.
+_HASHES: dict[bytes, int] = {}
+KNOWN = 300_000
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of every word."""
+    from xxhash import xxh64_intdigest
+
+    out, known = [], _HASHES
+    get, add = known.get, out.append
+    for w in words:
+        h = get(w)
+        if h is None:
+            h = xxh64_intdigest(w, 7)
+            if len(known) < KNOWN:
+                known[w] = h
+        add(h)
+    return np.array(out, np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for every run of k word hashes; empty if there are fewer."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
+    return mix(out)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results have been written: it does so for collected plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, pick, stage, text_slices
+from marlstone.llm.common import as_bytes, gram_hashes, mix, pick, stage, text_slices, word_hashes
 
 #: ASCII bytes other than digits and letters end a word; capital letters count as small ones.
 _TABLE = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -29,38 +29,6 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def _word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = xxh64_intdigest(w, 7)
-            if len(known) < 500_000:
-                known[w] = h
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash for every run of k word hashes."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
-    return _mix(out)
-
-
 def winnow(h: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """For every window of `span` words: its fingerprint (the least k-gram hash in it) and where that k-gram starts.
 
@@ -82,7 +50,7 @@ def winnow(h: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray,
 
 def _short_key(h: np.ndarray, n: int) -> np.ndarray:
     """Keys of all runs of n words, for items shorter than a window; n keeps lengths apart."""
-    return _mix(gram_hashes(h, n) + np.uint64(n))
+    return mix(gram_hashes(h, n) + np.uint64(n))
 
 
 def _filter_slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +63,11 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, span: int = SPA
     schema = T.StructType([source.schema["item"], T.StructField("key", T.LongType()), T.StructField("window", T.StringType()), T.StructField("size", T.IntegerType())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in text_slices(batches):
             rows, keys, texts, sizes = [], [], [], []
             for row, text in enumerate(as_bytes(batch.column(1))):
                 words = normal_words(text)
-                h = _word_hashes(words, known)
+                h = word_hashes(words)
                 if 0 < len(words) < span:
                     found, size = _short_key(h, len(words)), len(words)
                 else:
@@ -154,7 +121,6 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
         from xxhash import xxh3_128_hexdigest
 
         table = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        known: dict[bytes, int] = {}
 
         def possible(keys: np.ndarray) -> np.ndarray:
             first, second = _filter_slots(keys, filter_bits)
@@ -164,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
             rows, names, counts, keys, texts, starts = [], [], [], [], [], []
             for row, text in enumerate(as_bytes(batch.column(1))):
                 words = normal_words(text)
-                h = _word_hashes(words, known)
+                h = word_hashes(words)
                 name = xxh3_128_hexdigest(text) if text is not None else ""
                 hits = []
                 for n in (span, *short):
