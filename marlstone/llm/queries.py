@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, packing, simhash, substrings, tokenfile
+from marlstone.llm import decontam, media, packing, simhash, substrings, tokenfile
 from marlstone.llm.common import shared_dir
 
 
@@ -43,6 +43,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.transport_streams(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_planes(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", _vocabulary(WORD_BPE))
 
