@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, langid, media, packing, simhash, substrings, tokenfile
+from marlstone.llm import decontam, langid, media, packing, ppm, simhash, substrings, tokenfile
 from marlstone.llm.common import shared_dir
 
 
@@ -57,6 +57,12 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_planes(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", _vocabulary(WORD_BPE))
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(parts=5, part=1))
+    found = ppm.score(docs, docs.where("NOT held_out"))
+    return found.select("doc_id", langid.held_out(parts=5, part=1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
