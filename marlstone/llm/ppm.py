@@ -6,6 +6,10 @@ the longest context seen in training; each context sets aside an escape estimate
 distinct symbols (method C), and after an escape the symbols of the longer context are excluded from the shorter one.
 As contexts nest, every exclusion is fixed when the trie is, so a text costs one or a few table lookups a byte.
 
+Training texts may come in classes, such as languages. Each then has a trie of its own, and a text has the probability
+that the mixture of the tries gives it, each weighed by its share of the training texts. The class of a text that is
+scored is never looked at.
+
 The unigram score beside it counts whole words. The most frequent words, a bounded number, are known to every task;
 all others of a document are joined to the table of counts.
 """
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +32,8 @@ from marlstone.llm.common import as_bytes, drop_stage, pick, ranges, release, st
 
 ORDER = 5
 SPACE, END = 0x20, 0x0A
+#: Classes with a trie of their own (the most frequent ones; the rest share one).
+CLASSES = 8
 #: Most entries of a trie (beyond it, a threshold on counts leaves out its rarest), frequent words every task knows
 #: and their length in bytes, words whose scores a process keeps, words a counting task holds.
 ENTRIES, FREQUENT, LONGEST, KNOWN, HELD = 1 << 21, 1 << 18, 64, 400_000, 300_000
@@ -159,48 +166,72 @@ class Trie:
         return float(self.symbols(np.array([1 << 48 | SPACE], np.uint64), np.array([END]))[0])
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over the column text of docs."""
+def class_numbers(train: DataFrame, most: int = CLASSES) -> tuple[dict[str, int], list[int]]:
+    """Numbers of the most frequent classes, and the number of texts of each and of all others together."""
+    counted = train.groupBy("class").count()
+    top = counted.where("class IS NOT NULL").orderBy(F.desc("count"), "class").limit(most).collect()
+    total = train.count()
+    sizes = [r["count"] for r in top]
+    return {r["class"]: i for i, r in enumerate(top)}, [*sizes, total - sum(sizes)]
+
+
+def count_words(train: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """(word, n, n0, n1, ...): the counts of every word in all texts, and in those of each class."""
+    other = len(numbers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[Counter] = [Counter() for _ in range(other + 1)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for i, c in enumerate(held):
+                if c:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([i] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "class", "n"])
+                c.clear()
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return batch
+        for batch in text_slices(batches, column=1):
+            for name, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                held[numbers.get(name, other)].update(lower_words(text))
+            if sum(map(len, held)) > HELD:
+                yield from flush()
+        yield from flush()
 
-        for batch in text_slices(batches, column=0):
-            for text in as_bytes(batch.column(0)):
-                held.update(lower_words(text))
-            if len(held) > HELD:
-                yield flush()
-        yield flush()
+    parts = train.select("class", "text").mapInArrow(count, "word binary, class int, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("class") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(other + 1)))
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def count_tries(words: DataFrame, ends: list[int], entries: int = ENTRIES) -> list[Trie]:
+    """The tries of all classes, from the table of words and the numbers of texts.
 
-def count_trie(words: DataFrame, ends: int, entries: int = ENTRIES) -> Trie:
-    """The trie of a table of words and counts, and of `ends` texts. At most `entries` entries are gathered."""
+    All of them together gather at most `entries` entries.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        keys, counts = ([[np.zeros(0, x)] for _ in ends] for x in (np.uint64, np.int64))
+
+        def row(i: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], names=["class", "key", "n"])
+
         for whole in batches:
             for a in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(a, 50_000)
-                k, c = count_contexts(as_bytes(batch.column(0)), batch.column(1).to_numpy())
-                keys.append(k)
-                counts.append(c)
-                if sum(map(len, keys)) > 2_000_000:
-                    k, c = merged(np.concatenate(keys), np.concatenate(counts))
-                    if len(k) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
-                        k, c = k[:0], c[:0]
-                    keys, counts = [k], [c]
-        k, c = merged(np.concatenate(keys), np.concatenate(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
-
-    table, path = stage(words.select("word", "n").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
+                for i in range(len(ends)):
+                    part = batch.filter(pc.greater(batch.column(1 + i), 0))
+                    if not part.num_rows:
+                        continue
+                    k, c = count_contexts(as_bytes(part.column(0)), part.column(1 + i).to_numpy())
+                    keys[i].append(k)
+                    counts[i].append(c)
+                    if sum(map(len, keys[i])) > 1_000_000:
+                        k, c = merged(np.concatenate(keys[i]), np.concatenate(counts[i]))
+                        if len(k) > 500_000:
+                            yield row(i, k, c)
+                            k, c = k[:0], c[:0]
+                        keys[i], counts[i] = [k], [c]
+        for i in range(len(ends)):
+            yield row(i, *merged(np.concatenate(keys[i]), np.concatenate(counts[i])))
+
+    parts = words.select("word", *(f"n{i}" for i in range(len(ends)))).mapInArrow(count, "class int, key long, n long")
+    table, path = stage(parts.groupBy("class", "key").agg(F.sum("n").alias("n")), "trie")
     sizes = {r["bits"]: r["count"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect()}
     least, total = 0, 0
     for bits in sorted(sizes, reverse=True):
@@ -210,19 +241,23 @@ def count_trie(words: DataFrame, ends: int, entries: int = ENTRIES) -> Trie:
             break
     found = table.where(F.col("n") >= 1 << least).toArrow()
     drop_stage(words.sparkSession, path)
-    keys, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    if ends:
-        after = [0, 1 << 48 | SPACE]  # a text ends after a space, in every context of up to one byte
-        keys = np.concatenate([keys, np.array([c << 8 | END for c in after], np.uint64)])
-        counts = np.concatenate([counts, np.array([ends] * len(after))])
-    return Trie(*merged(keys, counts))
+    of, all_keys, all_counts = found.column("class").to_numpy(), found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    out = []
+    for i, texts in enumerate(ends):
+        keys, counts = all_keys[of == i], all_counts[of == i]
+        if texts:
+            after = [0, 1 << 48 | SPACE]  # a text ends after a space, in every context of up to one byte
+            keys = np.concatenate([keys, np.array([c << 8 | END for c in after], np.uint64)])
+            counts = np.concatenate([counts, np.array([texts] * len(after))])
+        out.append(Trie(*merged(keys, counts)))
+    return out
 
 
 class _Words:
     """Scores of the words a process has met."""
 
-    def __init__(self, trie: Trie, frequent: tuple[bytes, np.ndarray, np.ndarray], scale: float):
-        self.trie, self.scale = trie, scale
+    def __init__(self, tries: list[Trie], shares: np.ndarray, frequent: tuple[bytes, np.ndarray, np.ndarray], scale: float):
+        self.tries = tries
         raw, lengths, counts = frequent
         ends = np.cumsum(lengths)
         words = [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
@@ -230,8 +265,11 @@ class _Words:
         self.names = words
         self.frequent = len(words)
         self.base = np.log10(counts + 0.5) - scale
-        self.model = trie.words(words)
-        self.end = trie.end()
+        self.model = self.score(words)
+        self.end = np.array([t.end() for t in tries]) + np.log10(shares)
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        return np.stack([t.words(words) for t in self.tries])
 
     def code(self, split: list[list[bytes]]) -> np.ndarray:
         """Codes of all words; those from `frequent` on have no unigram score here."""
@@ -239,7 +277,7 @@ class _Words:
         for w in self.names[KNOWN:]:
             del codes[w]
         del self.names[KNOWN:]
-        self.model = self.model[: len(self.names)]
+        self.model = self.model[:, : len(self.names)]
         new = []
         for s in split:
             for w in s:
@@ -248,15 +286,16 @@ class _Words:
                     new.append(w)
         if new:
             self.names += new
-            self.model = np.concatenate([self.model, self.trie.words(new)])
+            self.model = np.concatenate([self.model, self.score(new)], axis=1)
         return np.array([c for s in split for c in map(codes.__getitem__, s)], np.int64)
 
 
 _WORDS: dict[str, _Words] = {}
 
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries: int = ENTRIES, frequent: int = FREQUENT) -> DataFrame:
-    """Score the texts of docs with what is learned from those of train; both have the columns id_col and text_col.
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, entries: int = ENTRIES, frequent: int = FREQUENT) -> DataFrame:
+    """Score the texts of docs with what is learned from those of train; both have the columns id_col and text_col, train also class_col if one is given
+    (null is a class like the rare ones).
 
     Returns doc_id, n_tokens (words and one end), n_known (tokens that occur in train), train_tokens, base_score (log10
     probability by smoothed counts of tokens), score (log10 probability by the context trie). Null text counts as
@@ -264,9 +303,11 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     unknown, and the trie is uniform over bytes. Other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    learned = pick(train, text=text_col)
-    words, _ = stage(count_words(learned), "words")
-    ends = learned.count()
+    learned = pick(train, text=text_col, **({"class": class_col} if class_col else {}))
+    learned = learned.withColumn("class", F.col("class").cast("string") if class_col else F.lit(None).cast("string"))
+    numbers, sizes = class_numbers(learned)
+    words, _ = stage(count_words(learned, numbers), "words")
+    ends = sum(sizes)
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = totals[0] + ends, totals[1] + (ends > 0)
     release(spark)
@@ -275,17 +316,20 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     scale = math.log10(tokens + 0.5 * (kinds + 1))
     known = (b"".join(names), np.array([len(w) for w in names], np.int64), top.column("n").to_numpy())
     tag = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((tag, count_trie(words, ends, entries), known, scale, math.log10(ends + 0.5) - scale))
+    used = [i for i, n in enumerate(sizes) if n] or [0]
+    tries = count_tries(words, sizes, entries)
+    shares = np.array([max(sizes[i], 1) for i in used], float)
+    sent = spark.sparkContext.broadcast((tag, [tries[i] for i in used], shares / shares.sum(), known, scale, math.log10(ends + 0.5) - scale))
     source = pick(docs, doc_id=id_col, text=text_col)
     schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t()) for n, t in (("row", T.StringType), ("n_tokens", T.LongType), ("n_known", T.LongType), ("base", T.DoubleType), ("score", T.DoubleType), ("word", T.BinaryType), ("times", T.LongType)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh3_128_hexdigest
 
-        tag, trie, known, scale, end_base = sent.value
+        tag, tries, shares, known, scale, end_base = sent.value
         if tag not in _WORDS:
             _WORDS.clear()
-            _WORDS[tag] = _Words(trie, known, scale)
+            _WORDS[tag] = _Words(tries, shares, known, scale)
         table = _WORDS[tag]
         end_known = int(ends > 0)
         for batch in text_slices(batches, most=1_000_000):
@@ -296,7 +340,9 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             doc = np.repeat(np.arange(len(n)), n)
             rare = codes >= table.frequent
             base = np.bincount(doc, np.where(rare, 0, table.base[np.minimum(codes, table.frequent - 1)] if table.frequent else 0), len(n)) + end_base
-            model = np.bincount(doc, table.model[codes], len(n)) + table.end
+            each = np.stack([np.bincount(doc, m[codes], len(n)) for m in table.model]) + table.end[:, None]
+            best = each.max(axis=0)
+            model = best + np.log10((10.0 ** (each - best)).sum(axis=0))
             found = np.bincount(doc[~rare], minlength=len(n)) + end_known
             pairs, times = np.unique(doc[rare] * (len(table.names) + 1) + codes[rare], return_counts=True)
             rows, which = np.divmod(pairs, len(table.names) + 1)
@@ -307,7 +353,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 take, zero = pa.array(rows), np.zeros(len(rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), tags.take(take), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array([table.names[c] for c in which.tolist()], pa.binary()), pa.array(times)], names=[f.name for f in schema])
 
-    parts = source.mapInArrow(run, schema).join(words, "word", "left")
+    parts = source.mapInArrow(run, schema).join(words.select("word", "n"), "word", "left")
     value = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(scale))
     per_doc = parts.groupBy("doc_id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),

@@ -95,6 +95,22 @@ def test_documents(spark, frequent):
     assert sorted((-1 if r[0] is None else r[0], r[1], r[2], r[3], round(r[4], 6), round(r[5], 6)) for r in got) == sorted(want)
 
 
+def test_mixture_of_classes(spark):
+    rows = [(1, "ab ab ba", "x"), (2, "ab aab", "x"), (3, "zz zy", "y"), (4, "q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = [(9, "ab zz"), (10, "ab ab"), (11, "")]
+    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(texts, "doc_id long, text string"), df, class_col="lang").collect()}
+    trees = []
+    for c, share in (("x", 2), ("y", 1), (None, 1)):
+        words = {}
+        for _, t, k in rows:
+            for w in t.encode().split() if k == c else ():
+                words[w] = words.get(w, 0) + 1
+        trees.append((brute_counts(words, share), share / 4))
+    for i, t in texts:
+        assert got[i] == pytest.approx(math.log10(sum(share * 10 ** brute_text(tree, t.encode().split()) for tree, share in trees)))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert ppm.score(none, none).collect() == []
