@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, langid, media, packing, ppm, quality, simhash, substrings, tokenfile
+from marlstone.llm import decontam, langid, licenses, media, packing, ppm, quality, simhash, substrings, tokenfile
 from marlstone.llm.common import shared_dir
 
 
@@ -42,6 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(WORD_BPE))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    found = licenses.scan(docs)
+    return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "license", "score", "method", "origin")
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.train(docs.where("NOT held_out"))
@@ -101,6 +107,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIG
 FROM docs d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+# The same sums as in licenses.py: templates, term weights, cosines, then the directory of each document, its source.
+OP5_SQL = rf"""
+WITH templates AS (SELECT * FROM (VALUES {", ".join("({}, '{}', '{}')".format(i, a, b.lower()) for i, (a, b) in enumerate(licenses.TEMPLATES))}) AS t(template, license, seg)),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(seg, '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+idf AS (SELECT term, ln({1.0 + len(licenses.TEMPLATES)} / (count(*) + 1)) + 1 AS idf FROM tt GROUP BY term),
+tw AS (SELECT term, license, template, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+low AS (SELECT concat_ws('/', source, doc_id) AS path, lower(text) AS low FROM documents WHERE {" OR ".join(f"contains(lower(text), '{c}')" for c in licenses.CUES)}),
+segs AS (
+  SELECT DISTINCT path, 'header' AS kind, seg FROM (SELECT path, unnest(string_split(low, chr(10))) AS seg FROM low) WHERE {" OR ".join(f"contains(seg, '{c}')" for c in licenses.CUES)}
+  UNION ALL SELECT path, 'file', low FROM low),
+terms AS (SELECT path, kind, seg, term, count(*) AS tf FROM (SELECT path, kind, seg, unnest(regexp_extract_all(seg, '[a-z0-9]+')) AS term FROM segs) GROUP BY ALL),
+w AS (SELECT t.*, tf * coalesce(idf, ln({1.0 + len(licenses.TEMPLATES)}) + 1) AS w FROM terms t LEFT JOIN idf USING (term)),
+norms AS (SELECT path, kind, seg, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT path, kind, seg, license, template, sum(w * weight) AS dot FROM w JOIN tw USING (term) GROUP BY ALL),
+scored AS (SELECT path, kind, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, kind, seg)),
+own AS (SELECT path, license, score, kind FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, kind, license) AS nth FROM scored WHERE score >= {licenses.LEAST}) WHERE nth = 1),
+covered AS (SELECT source, license, score FROM (SELECT string_split(path, '/')[1] AS source, license, score, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY score DESC, license) AS nth FROM own WHERE kind = 'file') WHERE nth = 1)
+SELECT d.doc_id, coalesce(o.license, c.license) AS license, coalesce(o.score, c.score) AS score,
+  CASE WHEN o.license IS NOT NULL THEN o.kind WHEN c.license IS NOT NULL THEN 'inherited' END AS method,
+  CASE WHEN o.license IS NULL AND c.license IS NOT NULL THEN c.source END AS origin
+FROM documents d LEFT JOIN own o ON o.path = concat_ws('/', d.source, d.doc_id) LEFT JOIN covered c ON c.source = d.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_substrings": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_licenses": OP5_SQL, "op7_substrings": OP7_SQL}
