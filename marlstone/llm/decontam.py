@@ -104,7 +104,7 @@ def _key_filter(windows: DataFrame, span: int, bits: int) -> tuple[np.ndarray, l
 def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Which words of which documents lie in windows of benchmark items.
 
-    Returns doc_id, n_words, n_hit (words in any occurrence of a window), n_items (items with occurring windows),
+    Returns doc_id, row (a hash of the text), n_words, n_hit (words in any occurrence of a window), n_items (items with occurring windows),
     items (their ids as sorted strings), spans (merged hit spans, [start, end) in words). An item's windows are its
     runs of `span` words, or the whole item if it is shorter. Null and empty texts have no words, items without words
     no window. Rows of docs that share id and text count as one; those that share the id alone are kept apart. Other
@@ -114,12 +114,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
     windows = item_windows(items, item_col, item_text_col, span, k).distinct()
     held, short = _key_filter(windows, span, filter_bits)
     sent = spark.sparkContext.broadcast(np.packbits(held).tobytes())  # filter_bits / 8 bytes
-    source = pick(docs, doc_id=doc_col, text=text_col)
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("row", T.StringType()), ("n_words", T.LongType()), ("key", T.LongType()), ("window", T.StringType()), ("start", T.IntegerType())))])
+    source = pick(docs, doc_id=doc_col, text=text_col).select("doc_id", "text", F.xxhash64("text").alias("row"))
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("row", T.LongType()), ("n_words", T.LongType()), ("key", T.LongType()), ("window", T.StringType()), ("start", T.IntegerType())))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_hexdigest
-
         table = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
 
         def possible(keys: np.ndarray) -> np.ndarray:
@@ -127,11 +125,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
             return np.flatnonzero(table[first] & table[second])
 
         for batch in text_slices(batches):
-            rows, names, counts, keys, texts, starts = [], [], [], [], [], []
+            rows, counts, keys, texts, starts = [], [], [], [], []
             for row, text in enumerate(as_bytes(batch.column(1))):
                 words = normal_words(text)
                 h = word_hashes(words)
-                name = xxh3_128_hexdigest(text) if text is not None else ""
                 hits = []
                 for n in (span, *short):
                     found = winnow(h, span, k)[0] if n == span else _short_key(h, n)
@@ -140,12 +137,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
                 # One row for the document itself, with a key of its own and a window that no item has.
                 for key, start, n in [(int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else row, -1, 0), *hits]:
                     rows.append(row)
-                    names.append(name)
                     counts.append(len(words))
                     keys.append(key)
                     texts.append(b" ".join(words[start : start + n]).decode() if n else "")
                     starts.append(start)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(starts, pa.int32())], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 2)), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(starts, pa.int32())], names=[f.name for f in schema])
 
     found = source.mapInArrow(scan, schema)
     # Windows of the same set of items share a set number, so that a document carries sets and not repeated lists.
@@ -171,4 +167,4 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
     named = dirty.select("doc_id", "row", F.explode("sets").alias("set")).join(members, "set").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     spans = by_doc.withColumn("spans", merged).alias("d").join(named.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.row") == F.col("n.row")), "left")
     items_or_none = F.coalesce(F.col("n.items"), F.expr("cast(array() as array<string>)"))
-    return spans.select("d.doc_id", "d.n_words", F.aggregate("d.spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"), items_or_none.alias("items"), "d.spans")
+    return spans.select("d.doc_id", "d.row", "d.n_words", F.aggregate("d.spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"), items_or_none.alias("items"), "d.spans")
