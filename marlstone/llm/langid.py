@@ -142,9 +142,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """The columns of docs, and lang_pred, score (the share of lang_pred in the text), languages (all, with shares).
 
     Only the text is looked at. Null texts, texts without a letter, and all texts if the model has no language are
-    `und` with score 0. The three added names must not be column names of docs.
+    `und` with score 0. Repeated rows are answered each; columns of docs with one of the three names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score", "languages")
     sent = spark.sparkContext.broadcast(model)  # fixed size for each language
     place = docs.columns.index(text_col)
     share = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
