@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -144,5 +145,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results have been written: it does so for collected plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, cut, gram_hashes, pick, ranges, release, text_slices, word_hashes
+from marlstone.llm.common import as_bytes, gram_hashes, pick, ranges, release, stage, text_slices, word_hashes
 
 SPAN = 20
 #: Longest prefix in words, slots of each table of prefix counts, suffixes of a group, suffixes sorted by a task at once.
@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     named = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("row"), "text")
-    starts = cut(repeated_starts(named, span, group))
+    starts, _ = stage(repeated_starts(named, span, group), "repeats")
     release(spark)
     per_doc = starts.groupBy("id", "row").agg(F.collect_list("starts").alias("starts")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "starts")
     both = docs.withColumn("__text_row", F.xxhash64(docs[f"`{text_col}`"])).join(per_doc, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__text_row") == F.col("__row")), "left")
