@@ -195,15 +195,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id, or earlier in the same one. spans are the maximal runs of words that went, [start, end). Null text has no words
     and kept is empty. Null ids come before all others. Rows that share id and text are the same document and all
     get its result; rows that share the id alone come in the order of a hash of their texts. An empty table gives no
-    row. The words of docs are compared as they are; only the four added names must not be column names of docs.
+    row. Words are compared as they are. Columns of docs that have one of the four added names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*({"n_words", "n_removed", "kept", "spans"} - {id_col, text_col}))
     named = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("row"), "text")
     starts, _ = stage(repeated_starts(named, span, group), "repeats")
     release(spark)
-    per_doc = starts.groupBy("id", "row").agg(F.collect_list("starts").alias("starts")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "starts")
+    per_doc = starts.groupBy("id", "row").agg(F.collect_list("starts").alias("starts")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("starts").alias("__starts"))
     both = docs.withColumn("__text_row", F.xxhash64(docs[f"`{text_col}`"])).join(per_doc, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__text_row") == F.col("__row")), "left")
-    both = both.select(*[docs[f"`{c}`"] for c in docs.columns], F.col("starts").alias("__starts"))
+    both = both.select(*[docs[f"`{c}`"] for c in docs.columns], "__starts")
     schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     place, own = docs.columns.index(text_col), len(docs.columns)
 
