@@ -95,17 +95,15 @@ def _roundtrip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     """Write nation as CSV into an archive, load it and read it back."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        local = shared.removeprefix("file://").removeprefix("file:") if shared else tempfile.gettempdir()
-        folder = os.path.join(local, f"load-{uuid.uuid4().hex}")
-        os.makedirs(folder)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+        folder = tempfile.mkdtemp()
         rows = spark.read.parquet(f"{sf_dir}/nation.parquet").toLocalIterator()
         archive = os.path.join(folder, "tables.zip")
         with zipfile.ZipFile(archive, "w") as out:
             lines = ["n_nationkey,n_name,n_regionkey", *(f'{r["n_nationkey"]},"{r["n_name"]}",{r["n_regionkey"]}' for r in rows)]
             out.writestr("nation.txt", "\n".join(lines) + "\n")
         columns = [ColumnMeta("n_nationkey", "Int32", True, True), ColumnMeta("n_name", "String"), ColumnMeta("n_regionkey", "Int32", indexed=True)]
-        return load(spark, archive, CatalogMeta("test", tables=[TableMeta("nation", columns)]), f"file://{folder}/db", kind, folder).table("nation")
+        return load(spark, archive, CatalogMeta("test", tables=[TableMeta("nation", columns)]), f"{shared}/load-{uuid.uuid4().hex}", kind).table("nation")
 
     return run
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, make_dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,6 +213,14 @@ class Database:
         ]
         return self.spark.createDataFrame(rows, "table string, rows long, ordinal int, column string, type string, key boolean, indexed boolean, unique boolean, distinct long, pages long")
 
+    def record_class(self, table: str) -> type:
+        """A dataclass with a field for each column of a table; `from_row` makes one of a row."""
+        meta = self.table_meta(table)
+        kinds = {"Single": float, "Double": float, "Decimal": Decimal, "Bool": bool} | {t.name: int for t in TYPES.values() if t.integral}
+        made = make_dataclass(meta.name, [(c.name, kinds.get(c.type, str) | None, field(default=None)) for c in meta.columns], frozen=True)
+        made.from_row = classmethod(lambda cls, row: cls(*(row[c.name] for c in meta.columns)))
+        return made
+
     def export_json(self, path: str) -> None:
         write_text(self.spark, path, self.meta.to_json())
 

@@ -6,6 +6,7 @@ import csv
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,23 @@ def unzip(archive: str, folder: str) -> list[str]:
     return names
 
 
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def upload(spark: SparkSession, local: str, path: str) -> None:
+    """Copy a file of the driver to where executors can read it."""
+    files, target = _filesystem(spark, path)
+    files.mkdirs(target.getParent())
+    files.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _filesystem(spark, path)
+    files.delete(target, True)
+
+
 def check_header(spark: SparkSession, path: str, table: TableMeta) -> None:
     """The first line must name the declared columns in their order."""
     first = spark.read.text(path).limit(1).collect()
@@ -62,15 +80,17 @@ def write_table(df: DataFrame, path: str, table: TableMeta, kind: str = "parquet
         writer.parquet(path)
 
 
-def load(spark: SparkSession, archive: str, catalog: str | CatalogMeta, path: str, kind: str = "parquet", staging: str | None = None, strict: bool = False) -> Database:
-    """Load the tables of a zip archive, `<table>.txt` or `<table>.csv` each, and open the database.
+def load(spark: SparkSession, archive: str, catalog: str | CatalogMeta, path: str, kind: str = "parquet", strict: bool = False) -> Database:
+    """Load the tables of a zip archive, `<table>.txt` or `<table>.csv` each, into the folder `path`; open the database.
 
     catalog is the JSON of a catalog or a catalog; tables not to be generated are skipped. In the strict dialect an
-    indexed column may hold no null. staging is a folder that driver and executors share; the files are copied there.
-    The catalog is written with row counts, and for indexed columns with distinct counts and uniqueness.
+    indexed column may hold no null. The archive is the driver's; its files are copied beside the tables, where all
+    executors can read them, and removed at the end. The catalog is written with row counts, and for indexed columns
+    with distinct counts and uniqueness.
     """
     meta = (CatalogMeta.from_json(catalog) if isinstance(catalog, str) else catalog).check()
-    folder = tempfile.mkdtemp(prefix="load-", dir=staging)
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="load-")
     try:
         names = unzip(archive, folder)
         for table in meta.tables:
@@ -79,11 +99,12 @@ def load(spark: SparkSession, archive: str, catalog: str | CatalogMeta, path: st
             name = next((n for n in (f"{table.name}.txt", f"{table.name}.csv") if n in names), None)
             if name is None:
                 raise LoadError(f"{table.name}: not in the archive")
-            write_table(read_csv(spark, f"file://{os.path.join(folder, name)}", table), f"{path}/{table.name}", table, kind)
+            upload(spark, os.path.join(folder, name), f"{staging}/{name}")
+            write_table(read_csv(spark, f"{staging}/{name}", table), f"{path}/{table.name}", table, kind)
             table.format = kind
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    db = Database(spark, meta, {}, strict, path)
+        remove(spark, staging)
     write_text(spark, f"{path}/{CATALOG_FILE}", meta.to_json())
     db = Database.open(spark, path, strict)
     for table in db.meta.tables:

@@ -67,6 +67,8 @@ def test_names_and_values(small):
     with pytest.raises(CatalogError):
         small.find("t", 1, 2)
     assert small.index("t.k").key and small.index("t", "s").type == "String" and small.table_meta("t").column(2).name == "v"
+    record = small.record_class("t")
+    assert record.from_row(small.find("t", 2).first()) == record(2, None, None)
     assert small.tables_of("k") == ["t", "u"] and small.compare("t.v", ">=", "4").count() == 2
 
 
