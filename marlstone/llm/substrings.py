@@ -13,6 +13,7 @@ a passage in a third of all documents reaches its group once for each task and n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,12 @@ def _dense_order(ids: pa.Array, rows: pa.Array) -> np.ndarray:
     return out
 
 
+def _flat(table: pa.Table, column: str) -> pa.Array:
+    """The items of a list column, one after the other."""
+    flat = pc.list_flatten(table.column(column).combine_chunks())
+    return pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+
+
 def _by_doc(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The documents that occur, and the sorted starts of each as unsigned 32-bit integers."""
     order = np.lexsort((start, doc))
@@ -106,11 +113,13 @@ def _by_doc(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]
 def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """(id, row, starts): for documents that have some, the starts of `span`-word windows that occur earlier.
 
-    docs has id, row (tells apart documents that share an id) and text. starts is packed, and a document may have
-    several rows.
+    docs has id, row (tells apart documents that share an id) and text. starts is packed, one row for a document. A
+    group answers in as many packed shards of documents as there are groups, so that its rows do not depend on how
+    many documents its leaves come from.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(prefix_groups(docs, span, group))
+    table = prefix_groups(docs, span, group)
+    sent, shards = spark.sparkContext.broadcast(table), int(table.max()) + 1
     id_type = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("repeat", T.BooleanType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType()), T.StructField("starts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
 
@@ -130,13 +139,15 @@ def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
             repeat, first = _repeats(keys, place[doc], start)
             out: list[tuple] = []
             for chosen, known in ((first, False), (repeat, True)):
-                # By group, then in the order of documents and places, which packs well.
-                order = chosen[np.lexsort((start[chosen], doc[chosen], own[chosen]))]
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(own[order])) + 1, [len(order)]]) if len(order) else [0]
+                # By group, then in the order of documents and places, which packs well. What is known to repeat needs
+                # no group and goes to any, so that a frequent passage does not gather in its own.
+                to = np.full(len(own), crc32(f"{names[0]}/{start[-1]}/{len(own)}".encode()) % shards, np.int32) if known else own
+                order = chosen[np.lexsort((start[chosen], doc[chosen], to[chosen]))]
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]]) if len(order) else [0]
                 for a, b in zip(edges[:-1], edges[1:]):
                     part = order[a:b]
                     which, n = np.unique(doc[part], return_counts=True)
-                    out.append((int(own[part[0]]), known, names.take(pa.array(which)), tags.take(pa.array(which)), pack(n.astype("<u4").tobytes()), pack(np.diff(start[part], prepend=0).astype("<i4").tobytes()), b"" if known else keys[part].astype("<u8").tobytes()))
+                    out.append((int(to[part[0]]), known, names.take(pa.array(which)), tags.take(pa.array(which)), pack(n.astype("<u4").tobytes()), pack(np.diff(start[part], prepend=0).astype("<i4").tobytes()), b"" if known else keys[part].astype("<u8").tobytes()))
             held, ids, rows, n_docs, count = [], [], [], 0, 0
             sizes = pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]), pa.int32())
             lists = [pa.ListArray.from_arrays(sizes, pa.concat_arrays([x[i] for x in out])) for i in (2, 3)]
@@ -168,8 +179,7 @@ def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
         unpack = zstandard.ZstdDecompressor().decompress
         table = table.combine_chunks()
         read = lambda name, kind: [np.frombuffer(unpack(x), kind) for x in table.column(name).to_pylist()]
-        names, tags = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("ids", "rows"))
-        names, tags = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (names, tags))
+        names, tags = _flat(table, "ids"), _flat(table, "rows")
         place = _dense_order(names, tags)
         counts, starts = read("counts", "<u4"), read("starts", "<i4")
         sizes = np.array([len(x) for x in starts], np.int64)
@@ -182,10 +192,32 @@ def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
         repeat, _ = _repeats(keys, place[doc[fresh]], start[fresh])
         all_repeats = np.concatenate([np.flatnonzero(known), fresh[repeat]])
         which, packed = _by_doc(doc[all_repeats], start[all_repeats])
-        return pa.table({"id": names.take(pa.array(which)), "row": tags.take(pa.array(which)), "starts": pa.array(packed, pa.binary())})
+        names, tags = names.take(pa.array(which)), tags.take(pa.array(which))
+        shard = np.array([crc32(f"{i}/{r}".encode()) % shards for i, r in zip(names.to_pylist(), tags.to_pylist())], np.int64)
+        order = np.argsort(shard, kind="stable")
+        found, edges = np.unique(shard[order], return_index=True)
+        edges = np.append(edges, len(order))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        parts = [[packed[i] for i in order[a:b]] for a, b in zip(edges[:-1], edges[1:])]
+        lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x.take(pa.array(order))) for x in (names, tags)]
+        return pa.table({"shard": pa.array(found, pa.int32()), "ids": lists[0], "rows": lists[1], "counts": pa.array([np.array([len(x) // 4 for x in p], "<u4").tobytes() for p in parts], pa.binary()), "starts": pa.array([pack(b"".join(p)) for p in parts], pa.binary())})
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        names, tags = _flat(table, "ids"), _flat(table, "rows")
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        starts = np.concatenate([np.frombuffer(unpack(x), "<u4") for x in table.column("starts").to_pylist()])
+        place = _dense_order(names, tags)
+        _, first = np.unique(place, return_index=True)
+        _, packed = _by_doc(np.repeat(place, counts), starts)
+        return pa.table({"id": names.take(pa.array(first)), "row": tags.take(pa.array(first)), "starts": pa.array(packed, pa.binary())})
 
     sent_on = docs.select("id", "row", "text").mapInArrow(suffixes, schema)
-    return sent_on.groupBy("group").applyInArrow(subtree, T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("starts", T.BinaryType())]))
+    ids, rows = (T.StructField("ids", T.ArrayType(id_type)), T.StructField("rows", T.ArrayType(T.LongType())))
+    answers = sent_on.groupBy("group").applyInArrow(subtree, T.StructType([T.StructField("shard", T.IntegerType()), ids, rows, T.StructField("counts", T.BinaryType()), T.StructField("starts", T.BinaryType())]))
+    return answers.groupBy("shard").applyInArrow(gather, T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("starts", T.BinaryType())]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP) -> DataFrame:
@@ -202,7 +234,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("row"), "text")
     starts, _ = stage(repeated_starts(named, span, group), "repeats")
     release(spark)
-    per_doc = starts.groupBy("id", "row").agg(F.collect_list("starts").alias("starts")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("starts").alias("__starts"))
+    per_doc = starts.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("starts").alias("__starts"))
     both = docs.withColumn("__text_row", F.xxhash64(docs[f"`{text_col}`"])).join(per_doc, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__text_row") == F.col("__row")), "left")
     both = both.select(*[docs[f"`{c}`"] for c in docs.columns], "__starts")
     schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
@@ -215,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = text.split() if text else []
                 removed = np.zeros(len(words) + 1, np.int32)
                 if packed:
-                    at = np.concatenate([np.frombuffer(p, "<u4") for p in packed]).astype(np.int64)
+                    at = np.frombuffer(packed, "<u4").astype(np.int64)
                     np.add.at(removed, at, 1)
                     np.add.at(removed, at + span, -1)
                 removed = np.cumsum(removed[: len(words)]) > 0
