@@ -9,6 +9,7 @@ where the probability of the pattern is the answer.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,52 +38,70 @@ INSULTS = frozenset(
 )
 
 
-class Words:
-    """What the labellers and the scorer need of each word: a row of `table` under its code."""
+_UPPER, _DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+#: Kinds of bytes: capital letters, other letters and all beyond ASCII, digits; marks stand for themselves.
+_KINDS = bytes(0x58 if c in _UPPER else 0x78 if c >= 0x80 or chr(c).isalpha() else 0x30 if c in _DIGITS else c for c in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.S)
+_FUNCTION, _INSULTS = (frozenset(w.encode() for w in words) for words in (FUNCTION_WORDS, INSULTS))
+_ENDS = frozenset(b".,;:!?")
 
-    FIELDS = ("function", "stop", "insult", "capitals", "marks", "letters", "size")
 
-    def __init__(self):
-        self.codes: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.table = np.zeros((0, len(self.FIELDS)), np.float32)
-        self.buckets = np.zeros((0, 2), np.int64)
+def _core(word: bytes) -> bytes:
+    return word.lower().strip(b".,;:!?\"'()[]|#$%&*")
 
-    @staticmethod
-    def _describe(word: bytes) -> tuple[tuple, tuple]:
-        from xxhash import xxh64_intdigest as digest
 
-        text = word.decode()
-        low = text.lower()
-        core = low.strip(".,;:!?\"'()[]|#$%&*")
-        letters = sum(map(str.isalpha, text))
-        capitals = sum(map(str.isupper, text))
-        marks = sum(not c.isalnum() for c in text)
-        shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in text)
-        short = "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])
-        return (core in FUNCTION_WORDS, text[-1] in ".,;:!?", core in INSULTS, capitals, marks, letters, len(text)), (digest("w" + core) % BUCKETS, digest("s" + short[:12]) % BUCKETS)
+def describe(word: bytes) -> tuple:
+    """What the labellers look at: function word, ends a sentence or clause, insult, capitals, marks, letters, bytes."""
+    core, size = _core(word), len(word)
+    marks, digits = size - len(word.translate(None, _MARKS)), size - len(word.translate(None, _DIGITS))
+    return core in _FUNCTION, word[-1] in _ENDS, core in _INSULTS, size - len(word.translate(None, _UPPER)), marks, size - marks - digits, size
+
+
+def hashed(word: bytes) -> tuple:
+    """Buckets of the word without marks, and of its shape."""
+    from xxhash import xxh64_intdigest as digest
+
+    return digest(b"w" + _core(word)) % BUCKETS, digest(b"s" + _RUNS.sub(rb"\1", word.translate(_KINDS))[:12]) % BUCKETS
+
+
+FIELDS = ("function", "stop", "insult", "capitals", "marks", "letters", "size")
+
+
+class Words(dict):
+    """Codes of words, and a row of `table` for each code: what `tell` says of the word."""
+
+    def __init__(self, tell, width: int, kind):
+        super().__init__()
+        self.tell, self.table = tell, np.zeros((0, width), kind)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
 
     def code(self, split: list[list[bytes]]) -> np.ndarray:
-        codes = self.codes
-        for w in self.names[KNOWN:]:
-            del codes[w]
-        del self.names[KNOWN:]
-        self.table, self.buckets = self.table[: len(self.names)], self.buckets[: len(self.names)]
-        new = []
-        for s in split:
-            for w in s:
-                if w not in codes:
-                    codes[w] = len(codes)
-                    new.append(w)
-        if new:
-            told = [self._describe(w) for w in new]
-            self.names += new
-            self.table = np.concatenate([self.table, np.array([t[0] for t in told], np.float32)])
-            self.buckets = np.concatenate([self.buckets, np.array([t[1] for t in told], np.int64)])
-        return np.array([c for s in split for c in map(codes.__getitem__, s)], np.int64)
-
-
-_WORDS: list[Words] = []
+        """Codes of all words. Words beyond the first KNOWN are forgotten with the next call."""
+        if len(self) > KNOWN:
+            for w in [w for w, c in zip(reversed(self), range(len(self) - KNOWN))]:
+                del self[w]
+            self.table = self.table[:KNOWN]
+        self.new = []
+        codes = np.array([c for s in split for c in map(self.__getitem__, s)], np.int64)
+        if self.new:
+            self.table = np.concatenate([self.table, np.array([self.tell(w) for w in self.new], self.table.dtype)])
+        return codes
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def _words(kind: str) -> Words:
+    """This process's words, as the labellers or the scorer need them."""
+    if kind not in _WORDS:
+        _WORDS[kind] = Words(describe, len(FIELDS), np.float32) if kind == "votes" else Words(hashed, 2, np.int64)
+    return _WORDS[kind]
 
 
 def _vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -90,24 +109,36 @@ def _vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.where(bad, 2, np.where(good, 1, 0))
 
 
-def read(texts: list[bytes | None]) -> dict[str, np.ndarray]:
-    """Votes of all labellers (columns of `quality` and `insult`), and the hashed features as rows, buckets, values."""
-    if not _WORDS:
-        _WORDS.append(Words())
-    words = _WORDS[0]
+def _split(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, their number, and the text of each word."""
     split = [t.split() if t else [] for t in texts]
     n = np.array([len(s) for s in split], np.int64)
-    codes = words.code(split)
-    doc = np.repeat(np.arange(len(n)), n)
-    told = words.table[codes]
-    total = {f: np.bincount(doc, told[:, i], len(n)) for i, f in enumerate(Words.FIELDS)}
-    some = np.maximum(n, 1)
+    return split, n, np.repeat(np.arange(len(n)), n)
+
+
+def _repeats(codes: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Share of words that equal the word before."""
     again = np.zeros(len(codes), bool)
     again[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
-    repeats = np.bincount(doc[again], minlength=len(n)) / some
-    distinct = np.bincount(np.unique(doc * (len(words.names) + 1) + codes) // (len(words.names) + 1), minlength=len(n)) / some
+    return np.bincount(doc[again], minlength=len(n)) / np.maximum(n, 1)
+
+
+def _same_lines(texts: list[bytes | None]) -> np.ndarray:
+    """Share of lines that occur before."""
     lines = [[x for x in t.split(b"\n") if x.strip()] if t else [] for t in texts]
-    same_lines = np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
+    return np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
+
+
+def votes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of the labellers of quality and of insults, a row for each text."""
+    split, n, doc = _split(texts)
+    words = _words("votes")
+    codes = words.code(split)
+    told = words.table[codes]
+    total = {f: np.bincount(doc, told[:, i], len(n)) for i, f in enumerate(FIELDS)}
+    some = np.maximum(n, 1)
+    repeats, same_lines = _repeats(codes, doc, n), _same_lines(texts)
+    distinct = np.array([len(set(s)) for s in split], np.int64) / some
     marks = total["marks"] / np.maximum(total["size"], 1)
     capitals = total["capitals"] / np.maximum(total["letters"], 1)
     function, stop = total["function"] / some, total["stop"] / some
@@ -117,7 +148,7 @@ def read(texts: list[bytes | None]) -> dict[str, np.ndarray]:
             _vote((marks < 0.05) & (n > 0), marks > 0.09),
             _vote((capitals < 0.06) & (n > 0), capitals > 0.25),
             _vote((repeats < 0.02) & long, (repeats > 0.1) & long),
-            _vote((distinct > 0.55) & long, (distinct < 0.3) & (n >= 20) & (n < 2000)),
+            _vote((distinct > 0.55) & long, (distinct < 0.3) & long & (n < 2000)),
             _vote((same_lines < 0.15) & (n > 0), same_lines > 0.4),
             _vote((function > 0.08) & (function < 0.42), (function < 0.03) & long | (function > 0.5)),
             _vote((stop > 0.04) & (stop < 0.4), (stop < 0.02) & long),
@@ -126,16 +157,20 @@ def read(texts: list[bytes | None]) -> dict[str, np.ndarray]:
         axis=1,
     )
     hits = total["insult"]
-    kinds = np.bincount(np.unique(doc[told[:, 2] > 0] * (len(words.names) + 1) + codes[told[:, 2] > 0]) // (len(words.names) + 1), minlength=len(n)) if len(codes) else hits
-    insult = np.stack([_vote(hits == 0, hits >= 1), _vote(hits <= 1, hits >= 2), _vote(kinds == 0, kinds >= 2), _vote(hits / some < 0.001, hits / some > 0.01)], axis=1)
-    one, shape = words.buckets[codes, 0], words.buckets[codes, 1]
+    bad = np.flatnonzero(told[:, 2] > 0)
+    kinds = np.bincount(np.unique(doc[bad] * len(words) + codes[bad]) // max(1, len(words)), minlength=len(n))
+    return quality, np.stack([_vote(hits == 0, hits >= 1), _vote(hits <= 1, hits >= 2), _vote(kinds == 0, kinds >= 2), _vote(hits / some < 0.001, hits / some > 0.01)], axis=1)
+
+
+def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features as rows, buckets and values, and the number of words of each text."""
+    split, n, doc = _split(texts)
+    words = _words("scorer")
+    codes = words.code(split)
+    share = 1 / np.maximum(n, 1)[doc]
     extra = np.tile(np.array([0, 1, 2]), len(n))  # the first buckets also hold repeats, equal lines and the constant
-    return {
-        "quality": quality, "insult": insult,
-        "rows": np.concatenate([doc, doc, np.repeat(np.arange(len(n)), 3)]),
-        "buckets": np.concatenate([one, shape, extra]),
-        "values": np.concatenate([1 / some[doc], 1 / some[doc], np.stack([repeats, same_lines, np.ones(len(n))], axis=1).reshape(-1)]),
-    }
+    own = np.stack([_repeats(codes, doc, n), _same_lines(texts), np.ones(len(n))], axis=1).reshape(-1)
+    return np.concatenate([doc, doc, np.repeat(np.arange(len(n)), 3)]), np.concatenate([words.table[codes, 0], words.table[codes, 1], extra]), np.concatenate([share, share, own]), n
 
 
 def pattern(votes: np.ndarray) -> np.ndarray:
@@ -196,25 +231,24 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            told = read(as_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(told["quality"])), pa.array(pattern(told["insult"]))], names=["quality", "insult"])
+            yield pa.RecordBatch.from_arrays([pa.array(pattern(v)) for v in votes(as_bytes(batch.column(0)))], names=["quality", "insult"])
 
-    labellers = {k: v.shape[1] for k, v in read([b"a"]).items() if k in ("quality", "insult")}
     seen = source.select("text").mapInArrow(patterns, "quality long, insult long").groupBy("quality", "insult").count().collect()
     counted: dict[str, dict[int, int]] = {"quality": {}, "insult": {}}
     for row in seen:
         for kind, own in counted.items():
             own[row[kind]] = own.get(row[kind], 0) + row["count"]
     total = sum(counted["quality"].values())
-    good = {k: estimate(counted[k], n, 0.85 if k == "quality" else 0.95) for k, n in labellers.items()}
+    good = {k: estimate(counted[k], v.shape[1], prior) for (k, prior), v in zip((("quality", 0.85), ("insult", 0.95)), votes([b"a"]))}
     sent_good = spark.sparkContext.broadcast(good)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            told = read(as_bytes(batch.column(0)))
-            target = sent_good.value["quality"][pattern(told["quality"])]
-            key, place = np.unique(told["rows"] * BUCKETS + told["buckets"], return_inverse=True)
-            value = np.bincount(place, told["values"]).astype(np.float32)
+            texts = as_bytes(batch.column(0))
+            target = sent_good.value["quality"][pattern(votes(texts)[0])]
+            rows, buckets, values, _ = features(texts)
+            key, place = np.unique(rows * BUCKETS + buckets, return_inverse=True)
+            value = np.bincount(place, values).astype(np.float32)
             row, bucket = np.divmod(key, BUCKETS)
             sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([pa.array(target), *(pa.array([x[a:b].tobytes() for a, b in zip(sizes[:-1], sizes[1:])], pa.binary()) for x in (bucket.astype("<u2"), value.astype("<f4")))], names=["target", "buckets", "values"])
@@ -222,7 +256,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     step = max(1, -(-total // train_rows))
     chosen = source.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(step)) == 0).select("text")
     # Copies of a text share the hash, so that the sample is cut to its bound as well.
-    sample = chosen.mapInArrow(features, "target double, buckets binary, values binary").limit(train_rows).toArrow()
+    sample = chosen.mapInArrow(sparse, "target double, buckets binary, values binary").limit(train_rows).toArrow()
     buckets = [np.frombuffer(b, "<u2") for b in sample.column("buckets").to_pylist()]
     flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
     weights = train(np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]).astype(np.int64), flat(buckets, np.int64).astype(np.int64), flat([np.frombuffer(b, "<f4") for b in sample.column("values").to_pylist()], float), sample.column("target").to_numpy())
@@ -232,12 +266,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=1_000_000):
             texts = as_bytes(batch.column(1))
-            told = read(texts)
-            n = np.array([len(t.split()) if t else 0 for t in texts], np.int64)
-            raw = np.bincount(told["rows"], told["values"] * sent.value[told["buckets"]], len(texts))
+            rows, buckets, values, n = features(texts)
+            voted, insulting = votes(texts)
+            raw = np.bincount(rows, values * sent.value[buckets], len(texts))
             quality = np.where(n > 0, 1 / (1 + np.exp(-raw)), 0.0)
-            weak = np.where(n > 0, sent_good.value["quality"][pattern(told["quality"])], 0.0)
-            insult = 1 - sent_good.value["insult"][pattern(told["insult"])]
+            weak = np.where(n > 0, sent_good.value["quality"][pattern(voted)], 0.0)
+            insult = 1 - sent_good.value["insult"][pattern(insulting)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weak), pa.array(quality), pa.array(insult), pa.array((quality >= 0.5) & (insult < 0.5))], names=[f.name for f in schema])
 
     return source.mapInArrow(score, schema)
