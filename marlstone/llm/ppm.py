@@ -10,8 +10,13 @@ Training texts may come in classes, such as languages. Each then has a trie of i
 that the mixture of the tries gives it, each weighed by its share of the training texts. The class of a text that is
 scored is never looked at.
 
+No context is left out, however large the tries grow. They are never held whole: their entries lie in a table that is
+dealt out by the last two bytes of their contexts, so that a context and all its shorter ones meet (those of up to one
+byte, which the alphabet bounds, are sent everywhere), and each symbol that some word asks for gets its probability
+there. A bounded number of most asked ones is known to the tasks that add up words, the others are joined.
+
 The unigram score beside it counts whole words. The most frequent words, a bounded number, are known to every task;
-all others of a document are joined to the table of counts.
+all others of a document are joined to the table of counts and scores.
 """
 
 from __future__ import annotations
@@ -34,9 +39,9 @@ ORDER = 5
 SPACE, END = 0x20, 0x0A
 #: Classes with a trie of their own (the most frequent ones; the rest share one).
 CLASSES = 8
-#: Most entries of a trie (beyond it, a threshold on counts leaves out its rarest), frequent words every task knows
-#: and their length in bytes, words whose scores a process keeps, words a counting task holds.
-ENTRIES, FREQUENT, LONGEST, KNOWN, HELD = 1 << 21, 1 << 18, 64, 400_000, 300_000
+#: Scores of symbols in their contexts that every task knows (the others are joined), frequent words every task knows
+#: and their length in bytes, words a process keeps, words a counting task holds.
+ENTRIES, FREQUENT, LONGEST, KNOWN, HELD = 1 << 20, 1 << 18, 64, 400_000, 300_000
 
 
 def lower_words(text: bytes | None) -> list[bytes]:
@@ -76,6 +81,12 @@ def count_contexts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     return merged(np.concatenate(keys), np.concatenate(weights))
 
 
+def asked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (longest context, symbol) of all bytes to predict, and how many each word has."""
+    flat, at, order, n = _positions(words)
+    return _contexts(flat, at, order) << np.uint64(8) | flat[at], n
+
+
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -175,50 +186,64 @@ def class_numbers(train: DataFrame, most: int = CLASSES) -> tuple[dict[str, int]
     return {r["class"]: i for i, r in enumerate(top)}, [*sizes, total - sum(sizes)]
 
 
-def count_words(train: DataFrame, numbers: dict[str, int]) -> DataFrame:
-    """(word, n, n0, n1, ...): the counts of every word in all texts, and in those of each class."""
+def count_words(train: DataFrame, docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """(word, n, n0, n1, ...): the counts of every word in all texts of train, and in those of each class.
+
+    Words that only docs have are there with counts of zero.
+    """
     other = len(numbers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter] = [Counter() for _ in range(other + 1)]
+        met: set[bytes] = set()
+
+        def row(words: list[bytes], i: int, n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([i] * len(words), pa.int32()), pa.array(n, pa.int64())], names=["word", "class", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
+            met.difference_update(*held)
+            if met:
+                yield row(list(met), other, [0] * len(met))
             for i, c in enumerate(held):
                 if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([i] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "class", "n"])
+                    yield row(list(c), i, list(c.values()))
                 c.clear()
+            met.clear()
 
         for batch in text_slices(batches, column=1):
-            for name, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                held[numbers.get(name, other)].update(lower_words(text))
-            if sum(map(len, held)) > HELD:
+            for name, text, learned in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                (held[numbers.get(name, other)] if learned else met).update(lower_words(text))
+            if sum(map(len, held)) + len(met) > HELD:
                 yield from flush()
         yield from flush()
 
-    parts = train.select("class", "text").mapInArrow(count, "word binary, class int, n long")
+    texts = train.select("class", "text", F.lit(True).alias("learned")).union(docs.select(F.lit(None).cast("string"), "text", F.lit(False)))
+    parts = texts.mapInArrow(count, "word binary, class int, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("class") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(other + 1)))
 
 
-def count_tries(words: DataFrame, ends: list[int], entries: int = ENTRIES) -> list[Trie]:
-    """The tries of all classes, from the table of words and the numbers of texts.
-
-    All of them together gather at most `entries` entries.
-    """
+def count_keys(words: DataFrame, classes: list[int]) -> DataFrame:
+    """(class, key, n): the counts of all entries of the tries of the given classes, and, under class -1, how many
+    words ask for each key."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = ([[np.zeros(0, x)] for _ in ends] for x in (np.uint64, np.int64))
+        keys, counts = ({i: [np.zeros(0, x)] for i in (-1, *classes)} for x in (np.uint64, np.int64))
 
         def row(i: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], names=["class", "key", "n"])
 
-        for whole in batches:
+        for whole in text_slices(batches, column=0):
             for a in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(a, 50_000)
-                for i in range(len(ends)):
-                    part = batch.filter(pc.greater(batch.column(1 + i), 0))
+                for j, i in enumerate((-1, *classes)):
+                    part = batch.filter(pc.greater(batch.column(j), 0)) if j else batch
                     if not part.num_rows:
                         continue
-                    k, c = count_contexts(as_bytes(part.column(0)), part.column(1 + i).to_numpy())
+                    if j:
+                        k, c = count_contexts(as_bytes(part.column(0)), part.column(j).to_numpy())
+                    else:
+                        k = asked(as_bytes(part.column(0)))[0]
+                        k, c = merged(k, np.ones(len(k), np.int64))
                     keys[i].append(k)
                     counts[i].append(c)
                     if sum(map(len, keys[i])) > 1_000_000:
@@ -227,66 +252,110 @@ def count_tries(words: DataFrame, ends: list[int], entries: int = ENTRIES) -> li
                             yield row(i, k, c)
                             k, c = k[:0], c[:0]
                         keys[i], counts[i] = [k], [c]
-        for i in range(len(ends)):
+        for i in keys:
             yield row(i, *merged(np.concatenate(keys[i]), np.concatenate(counts[i])))
 
-    parts = words.select("word", *(f"n{i}" for i in range(len(ends)))).mapInArrow(count, "class int, key long, n long")
-    table, path = stage(parts.groupBy("class", "key").agg(F.sum("n").alias("n")), "trie")
-    sizes = {r["bits"]: r["count"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect()}
-    least, total = 0, 0
-    for bits in sorted(sizes, reverse=True):
-        total += sizes[bits]
-        if total > entries:
-            least = bits + 1
-            break
-    found = table.where(F.col("n") >= 1 << least).toArrow()
-    drop_stage(words.sparkSession, path)
+    parts = words.select("word", *(f"n{i}" for i in classes)).mapInArrow(count, "class int, key long, n long")
+    return parts.groupBy("class", "key").agg(F.sum("n").alias("n"))
+
+
+def short_contexts(table: DataFrame, classes: list[int], ends: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each class in contexts of up to one byte (at most 65,792 of them), with the ends of texts."""
+    found = table.where((F.col("class") >= 0) & (F.col("key") < 2 << 56)).toArrow()
     of, all_keys, all_counts = found.column("class").to_numpy(), found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
     out = []
-    for i, texts in enumerate(ends):
+    for i in classes:
         keys, counts = all_keys[of == i], all_counts[of == i]
-        if texts:
+        if ends[i]:
             after = [0, 1 << 48 | SPACE]  # a text ends after a space, in every context of up to one byte
             keys = np.concatenate([keys, np.array([c << 8 | END for c in after], np.uint64)])
-            counts = np.concatenate([counts, np.array([texts] * len(after))])
-        out.append(Trie(*merged(keys, counts)))
+            counts = np.concatenate([counts, np.array([ends[i]] * len(after))])
+        out.append(merged(keys, counts))
     return out
 
 
+def score_keys(table: DataFrame, classes: list[int], short: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(key, n, s0, s1, ...): every key that words ask for, how many do, and its log10 probability in each class.
+
+    What `symbols` needs of a context, its entries and those of all its shorter ones, has the same last two bytes or
+    is in `short`; so the tries are built for each such group alone.
+    """
+    sent = table.sparkSession.sparkContext.broadcast(short)
+
+    def run(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        of, keys, n = rows.column("class").to_numpy(), rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        want = of < 0
+        last, out = np.uint64(group[0].as_py() & 255), []
+        for i, (more, counts) in zip(classes, sent.value):
+            near = (more >> np.uint64(56) == 0) | (more >> np.uint64(8) & np.uint64(255) == last)
+            own = of == i
+            trie = Trie(*merged(np.concatenate([keys[own], more[near]]), np.concatenate([n[own], counts[near]])))
+            out.append(trie.symbols(keys[want] >> np.uint64(8), keys[want] & np.uint64(255)))
+        return pa.table([pa.array(keys[want].view(np.int64)), pa.array(n[want]), *map(pa.array, out)], names=["key", "n", *(f"s{j}" for j in range(len(classes)))])
+
+    context = F.shiftright("key", 8)
+    ending = F.when(F.col("key") < 2 << 56, context.bitwiseAND(255) + (1 << 16)).otherwise(context.bitwiseAND(0xFFFF))
+    dealt = table.where((F.col("class") < 0) | (F.col("key") >= 2 << 56)).withColumn("ending", ending)
+    return dealt.groupBy("ending").applyInArrow(run, "key long, n long, " + ", ".join(f"s{j} double" for j in range(len(classes))))
+
+
+def score_words(words: DataFrame, scores: DataFrame, classes: int, entries: int = ENTRIES) -> DataFrame:
+    """(word, n, s0, s1, ...): every word, its count, and its log10 probability in each class, with the space that ends it.
+
+    The `entries` most asked keys are known to every task, the others are joined.
+    """
+    columns = [f"s{j}" for j in range(classes)]
+    top = scores.orderBy(F.desc("n"), "key").limit(entries).toArrow()
+    known = top.column("key").to_numpy()
+    order = np.argsort(known)
+    sent = words.sparkSession.sparkContext.broadcast((known[order].view(np.uint64), np.stack([top.column(c).to_numpy()[order] for c in columns])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = sent.value
+        for whole in text_slices(batches, column=0):
+            for a in range(0, whole.num_rows, 50_000):
+                batch = whole.slice(a, 50_000)
+                keys, n = asked(as_bytes(batch.column(0)))
+                word, place = np.repeat(np.arange(len(n)), n), _find(known, keys)
+                hit = place >= 0
+                sums = [np.bincount(word[hit], v[place[hit]], len(n)).astype(float) for v in values]
+                kinds, which = np.unique(keys[~hit], return_inverse=True)
+                pairs, times = np.unique(word[~hit] * max(1, len(kinds)) + which, return_counts=True)
+                rows, which = np.divmod(pairs, max(1, len(kinds)))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(n)))]).astype(np.int32))
+                rest = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kinds[which].view(np.int64), times.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sums), *rest], names=["word", "n", *columns, "rest", "times"])
+
+    schema = f"word binary, n long, {', '.join(f'{c} double' for c in columns)}, rest array<long>, times array<long>"
+    summed, _ = stage(words.select("word", "n").mapInArrow(run, schema), "word-scores")
+    rest = summed.where(F.size("rest") > 0).select("word", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("word", F.col("x.rest").alias("key"), "x.times")
+    added = rest.join(scores.select("key", *columns), "key").groupBy("word").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in columns))
+    return summed.join(added, "word", "left").select("word", "n", *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))).alias(c) for c in columns))
+
+
 class _Words:
-    """Scores of the words a process has met."""
+    """Codes of the words a process has met, and the scores of the frequent ones."""
 
-    def __init__(self, tries: list[Trie], shares: np.ndarray, frequent: tuple[bytes, np.ndarray, np.ndarray], scale: float):
-        self.tries = tries
-        raw, lengths, counts = frequent
+    def __init__(self, frequent: tuple[bytes, np.ndarray, np.ndarray, np.ndarray], scale: float):
+        raw, lengths, counts, self.model = frequent
         ends = np.cumsum(lengths)
         words = [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
         self.codes = {w: i for i, w in enumerate(words)}
         self.names = words
         self.frequent = len(words)
         self.base = np.log10(counts + 0.5) - scale
-        self.model = self.score(words)
-        self.end = np.array([t.end() for t in tries]) + np.log10(shares)
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        return np.stack([t.words(words) for t in self.tries])
 
     def code(self, split: list[list[bytes]]) -> np.ndarray:
-        """Codes of all words; those from `frequent` on have no unigram score here."""
+        """Codes of all words; those from `frequent` on have no scores here."""
         codes = self.codes
-        for w in self.names[KNOWN:]:
+        for w in self.names[max(KNOWN, self.frequent) :]:
             del codes[w]
-        del self.names[KNOWN:]
-        self.model = self.model[:, : len(self.names)]
-        new = []
+        del self.names[max(KNOWN, self.frequent) :]
         for s in split:
             for w in s:
                 if w not in codes:
                     codes[w] = len(codes)
-                    new.append(w)
-        if new:
-            self.names += new
-            self.model = np.concatenate([self.model, self.score(new)], axis=1)
+                    self.names.append(w)
         return np.array([c for s in split for c in map(codes.__getitem__, s)], np.int64)
 
 
@@ -300,36 +369,43 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     Returns doc_id, n_tokens (words and one end), n_known (tokens that occur in train), train_tokens, base_score (log10
     probability by smoothed counts of tokens), score (log10 probability by the context trie). Null text counts as
     empty and has its end alone. Every row of docs gives a row, whatever its id; with no training text every token is
-    unknown, and the trie is uniform over bytes. Other columns are ignored; an empty table gives no row.
+    unknown, and the trie is uniform over bytes. Other columns are ignored; an empty table gives no row. `entries` and
+    `frequent` say how much every task holds; results do not depend on them.
     """
     spark = docs.sparkSession
     learned = pick(train, text=text_col, **({"class": class_col} if class_col else {}))
     learned = learned.withColumn("class", F.col("class").cast("string") if class_col else F.lit(None).cast("string"))
+    source = pick(docs, doc_id=id_col, text=text_col)
     numbers, sizes = class_numbers(learned)
-    words, _ = stage(count_words(learned, numbers), "words")
+    words, _ = stage(count_words(learned, source, numbers), "words")
     ends = sum(sizes)
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = totals[0] + ends, totals[1] + (ends > 0)
     release(spark)
-    top = words.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    used = [i for i, n in enumerate(sizes) if n] or [0]
+    table, trie_path = stage(count_keys(words, used), "trie")
+    short = short_contexts(table, used, sizes)
+    scores, _ = stage(score_keys(table, used, short), "scores")
+    drop_stage(spark, trie_path)
+    scored = score_words(words, scores, len(used), entries)
+    columns = [f"s{j}" for j in range(len(used))]
+    top = scored.where((F.octet_length("word") <= LONGEST) & (F.col("n") > 0)).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     names = top.column("word").to_pylist()
     scale = math.log10(tokens + 0.5 * (kinds + 1))
-    known = (b"".join(names), np.array([len(w) for w in names], np.int64), top.column("n").to_numpy())
+    known = (b"".join(names), np.array([len(w) for w in names], np.int64), top.column("n").to_numpy(), np.stack([top.column(c).to_numpy() for c in columns]))
     tag = uuid.uuid4().hex
-    used = [i for i, n in enumerate(sizes) if n] or [0]
-    tries = count_tries(words, sizes, entries)
     shares = np.array([max(sizes[i], 1) for i in used], float)
-    sent = spark.sparkContext.broadcast((tag, [tries[i] for i in used], shares / shares.sum(), known, scale, math.log10(ends + 0.5) - scale))
-    source = pick(docs, doc_id=id_col, text=text_col)
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t()) for n, t in (("row", T.StringType), ("n_tokens", T.LongType), ("n_known", T.LongType), ("base", T.DoubleType), ("score", T.DoubleType), ("word", T.BinaryType), ("times", T.LongType)))])
+    last = np.array([Trie(*s).end() for s in short]) + np.log10(shares / shares.sum())
+    sent = spark.sparkContext.broadcast((tag, known, scale, math.log10(ends + 0.5) - scale))
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t()) for n, t in (("row", T.StringType), ("n_tokens", T.LongType), ("n_known", T.LongType), ("base", T.DoubleType), *((f"m{j}", T.DoubleType) for j in range(len(used))), ("word", T.BinaryType), ("times", T.LongType)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh3_128_hexdigest
 
-        tag, tries, shares, known, scale, end_base = sent.value
+        tag, known, scale, end_base = sent.value
         if tag not in _WORDS:
             _WORDS.clear()
-            _WORDS[tag] = _Words(tries, shares, known, scale)
+            _WORDS[tag] = _Words(known, scale)
         table = _WORDS[tag]
         end_known = int(ends > 0)
         for batch in text_slices(batches, most=1_000_000):
@@ -339,26 +415,28 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             n = np.array([len(s) for s in split], np.int64)
             doc = np.repeat(np.arange(len(n)), n)
             rare = codes >= table.frequent
-            base = np.bincount(doc, np.where(rare, 0, table.base[np.minimum(codes, table.frequent - 1)] if table.frequent else 0), len(n)) + end_base
-            each = np.stack([np.bincount(doc, m[codes], len(n)) for m in table.model]) + table.end[:, None]
-            best = each.max(axis=0)
-            model = best + np.log10((10.0 ** (each - best)).sum(axis=0))
-            found = np.bincount(doc[~rare], minlength=len(n)) + end_known
+            near, of = codes[~rare], doc[~rare]
+            base = np.bincount(of, table.base[near], len(n)).astype(float) + end_base
+            model = [np.bincount(of, m[near], len(n)).astype(float) for m in table.model]
+            found = np.bincount(of, minlength=len(n)) + end_known
             pairs, times = np.unique(doc[rare] * (len(table.names) + 1) + codes[rare], return_counts=True)
             rows, which = np.divmod(pairs, len(table.names) + 1)
             tags = pa.array([xxh3_128_hexdigest(t) if t is not None else "" for t in texts], pa.string())
             # A row for the document, under a word of its own (words have no white space), and one for each rare word.
-            yield pa.RecordBatch.from_arrays([batch.column(0), tags, pa.array(n + 1), pa.array(found), pa.array(base), pa.array(model), pa.array([b" " + xxh3_128_digest(t or b"") for t in texts], pa.binary()), pa.array(np.zeros(len(n), np.int64))], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([batch.column(0), tags, pa.array(n + 1), pa.array(found), pa.array(base), *map(pa.array, model), pa.array([b" " + xxh3_128_digest(t or b"") for t in texts], pa.binary()), pa.array(np.zeros(len(n), np.int64))], names=[f.name for f in schema])
             if len(rows):
                 take, zero = pa.array(rows), np.zeros(len(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), tags.take(take), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array([table.names[c] for c in which.tolist()], pa.binary()), pa.array(times)], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), tags.take(take), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), *[pa.array(zero)] * len(model), pa.array([table.names[c] for c in which.tolist()], pa.binary()), pa.array(times)], names=[f.name for f in schema])
 
-    parts = source.mapInArrow(run, schema).join(words.select("word", "n"), "word", "left")
+    parts = source.mapInArrow(run, schema).join(scored, "word", "left")
     value = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(scale))
     per_doc = parts.groupBy("doc_id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + value).alias("base"), F.sum("score").alias("score"), F.count(F.when(F.col("times") == 0, 1)).alias("copies"),
+        F.sum(F.col("base") + value).alias("base"), *(F.sum(F.col(f"m{j}") + F.col("times") * F.coalesce(c, F.lit(0.0))).alias(f"m{j}") for j, c in enumerate(columns)),
+        F.count(F.when(F.col("times") == 0, 1)).alias("copies"),
     )
     # Rows that share id and text were added up; each gets its share.
-    each = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select("doc_id", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    each = per_doc.select("*", F.array(*(F.col(f"m{j}") / F.col("copies") + F.lit(float(last[j])) for j in range(len(used)))).alias("each"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    best = F.array_max("each")
+    model = best + F.log10(F.aggregate("each", F.lit(0.0), lambda total, x: total + F.pow(F.lit(10.0), x - best)))
+    return each.select("doc_id", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), model.alias("score"))

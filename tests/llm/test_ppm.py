@@ -116,3 +116,22 @@ def test_empty_tables(spark):
     assert ppm.score(none, none).collect() == []
     got = ppm.score(spark.createDataFrame([(1, "ab", "", "")], DOCS), none).first()
     assert got["n_known"] == 0 and got["base_score"] == 0 and got["score"] == pytest.approx(-4 * math.log10(256))
+
+
+def test_no_context_is_left_out(spark):
+    """Whatever a task holds, rare contexts are kept: all scores equal those of the whole tries."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(30))) for i in range(20)] + [(20, "once only abcdefgh"), (21, "onceonly " * 9 + "y" * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where("doc_id % 3 <> 1")
+    words, ends = {}, 0
+    for i, t in rows:
+        if i % 3 != 1:
+            ends += 1
+            for w in t.encode().split():
+                words[w] = words.get(w, 0) + 1
+    tree = brute_counts(words, ends)
+    want = {i: pytest.approx(brute_text(tree, t.encode().split())) for i, t in rows}
+    for entries in (0, 25):
+        assert {r["doc_id"]: r["score"] for r in ppm.score(df, train, entries=entries, frequent=10).collect()} == want
