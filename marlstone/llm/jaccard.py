@@ -1,0 +1,198 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, without a missed pair.
+
+All shingles have one global order. Two sets whose similarity is at least t share one of the first n - ceil(t n) + 1
+shingles of each (n being its size), so every text stands in the buckets of these. Any order serves; here shingles that
+many texts share come last, by counts of a bounded number of them, which keeps common passages from filling buckets.
+Candidates pass sizes and a bound on their overlap by the parities of their hashes, and are then compared whole.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marlstone.llm.common import as_bytes, components, cut, drop_stage, gram_hashes, pick, release, stage, text_slices, word_hashes
+
+#: Shingles that come last: at most so many, each in more than so many prefixes.
+COMMON, OFTEN = 1 << 18, 32
+#: Buckets with up to so many texts are joined pair by pair; larger ones are compared in blocks.
+SMALL, BLOCK = 16, 1024
+PARITIES = 8
+_BITS = [f"p{i}" for i in range(PARITIES)]
+
+
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `size` lower-cased words; a shorter text is one run."""
+    words = text.lower().split() if text else []
+    return np.unique(gram_hashes(word_hashes(words), min(size, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, row (a hash of the text), fp (a hash of the set), n (its size), parities and the set of every row."""
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("row", "fp", "n", *_BITS)), T.StructField("items", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
+        for batch in text_slices(batches):
+            found = [shingles(t, size) for t in as_bytes(batch.column(1))]
+            raw = [x.tobytes() for x in found]
+            odd = np.stack([np.bincount((x & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1 for x in found]).astype(np.uint8)
+            parities = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+            fp = np.array([digest(x, 1) for x in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp), pa.array([len(x) for x in found], pa.int64()), *(pa.array(parities[:, i].copy()) for i in range(PARITIES)), pa.array(raw, pa.binary())], names=[f.name for f in schema])
+
+    return source.mapInArrow(run, schema)
+
+
+def _prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(key, fp): the shingles by which a text can be met. Those of `common` (sorted) come after all others."""
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = sent.value
+        for whole in text_slices(batches):
+            keys, fps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for fp, raw in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist()):
+                items = np.frombuffer(raw, np.uint64)
+                if not len(items):
+                    continue
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, items), len(last) - 1)] == items
+                    items = np.concatenate([items[~late], items[late]])
+                keys.append(items[: len(items) - math.ceil(similarity * len(items) - 1e-9) + 1])
+                fps.append(np.full(len(keys[-1]), fp))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps))], names=["key", "fp"])
+
+    return sets.select("fp", "items").mapInArrow(run, "key long, fp long")
+
+
+def _possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and parities allow to be similar, each once."""
+    side = lambda x: sizes.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *_BITS)))
+    met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    fits = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (total - apart >= 2 * similarity / (1 + similarity) * total - 1e-6)
+    return met.where(fits).select("a", "b")
+
+
+def _similar(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are similar."""
+    side = lambda x: whole.select(F.col("fp").alias(x), F.col("items").alias(f"items_{x}"))
+    needed = asked.select(F.col("a").alias("fp")).union(asked.select(F.col("b").alias("fp"))).distinct()
+    whole = sets.select("fp", "items").join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return asked.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+
+
+def _grown(known: DataFrame | None, pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component): the components after linking the similar ones of the pairs.
+
+    Every text is first compared with one other, and the rest only where components still differ.
+    """
+    spark = pairs.sparkSession
+    pairs, path = stage(_possible(pairs, sizes, similarity), "pairs")
+    for one in (True, False):
+        asked = pairs
+        if known is not None:
+            label = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+            asked = asked.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        asked = cut(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one else asked)
+        found = _similar(asked, sets, similarity)
+        if known is not None:
+            found = found.union(known.select("node", "component"))
+        known = cut(components(found))
+        release(spark)
+    drop_stage(spark, path)
+    return known
+
+
+def _block(similarity: float):
+    """Pairs of a block that belong to different components and may be similar."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        fp, comp, side, n = (table.column(c).to_numpy() for c in ("fp", "component", "side", "n"))
+        bits = np.stack([table.column(c).to_numpy() for c in _BITS], axis=1).view(np.uint64)
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(left), 128):
+            rows = left[i : i + 128]
+            total = n[rows][:, None] + n[right][None, :]
+            apart = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero((comp[rows][:, None] != comp[right][None, :]) & (total - apart >= 2 * similarity / (1 + similarity) * total - 1e-6))
+            a.append(fp[rows[x]])
+            b.append(fp[right[y]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def linked_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(fp, component) of all distinct sets that have a link.
+
+    Every text of a bucket is first compared with two of its texts. Pairs of the others are only looked at where their
+    texts still belong to different components.
+    """
+    counted = _prefixes(sets, similarity, np.zeros(0, np.uint64)).groupBy("key").count().where(F.col("count") > OFTEN)
+    common = counted.orderBy(F.desc("count"), "key").limit(COMMON).toArrow().column("key").to_numpy().view(np.uint64)
+    keys = _prefixes(sets, similarity, np.sort(common)).distinct()
+    stats = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    met, path = stage(keys.join(stats, "key"), "buckets")
+    release(sets.sparkSession)
+    sizes = cut(sets.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", *_BITS))))
+    stars = met.where("fp <> lo").select(F.col("lo").alias("a"), F.col("fp").alias("b")).union(met.where("fp <> hi").select(F.col("fp").alias("a"), F.col("hi").alias("b")))
+    first = _grown(None, stars, sizes, sets, similarity)
+    # Of up to three texts all pairs have been seen.
+    members = met.where("n > 3").select("key", "fp", F.col("n").alias("many")).join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    members = cut(members)
+    split = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    members = cut(members.join(split, "key", "left_semi"))
+    small, large = members.where(F.col("many") <= SMALL), members.where(F.col("many") > SMALL).join(sizes, "fp")
+    other = small.select("key", F.col("fp").alias("other"), F.col("component").alias("its"))
+    pairs = small.join(other, "key").where("fp < other AND component <> its").select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    large = large.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # Each pair of blocks meets once; a block meets itself.
+    columns = ["key", "fp", "component", "n", *_BITS]
+    lefts = large.select(*columns, F.lit(1).alias("side"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    rights = large.select(*columns, F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    blocks = lefts.union(rights).groupBy("key", "i", "j").applyInArrow(_block(similarity), "a long, b long")
+    linked = _grown(first, pairs.union(blocks), sizes, sets, similarity)
+    drop_stage(sets.sparkSession, path)
+    return linked.select(F.col("node").alias("fp"), "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (smallest id reachable through links), row, keeper; texts whose sets of word shingles have a
+    Jaccard similarity of `similarity` or more are linked.
+
+    Texts are compared whole, as the shingles of `size` lower-cased words; a shorter text is one shingle. Null, empty
+    and blank texts are one group. Shingles and sets are told apart by 64-bit hashes. Rows with null ids belong to
+    components, but null is the component_id only if there is no other id; repeated rows are kept. row is a hash of the
+    text; keeper is true for one id and row of each component, the smallest. Other columns are ignored, an empty table
+    gives no row.
+    """
+    sets, _ = stage(_sets(pick(docs, doc_id=id_col, text=text_col), size), "shingles")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    linked = linked_sets(sets, similarity)
+    named = cut(sets.groupBy("fp").agg(low.alias("low")).join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    smallest = named.groupBy("component").agg(F.min("low").alias("low"))
+    ids = named.select("fp", "component").join(smallest, "component").select("fp", "low")
+    return sets.select("doc_id", "row", "fp").join(ids, "fp").select("doc_id", F.col("low.doc_id").alias("component_id"), "row", (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("row") == F.col("low.row"))).alias("keeper"))

@@ -1,0 +1,78 @@
+import random
+
+import corpus_pipeline
+import pytest
+
+from marlstone.llm import jaccard, simhash
+
+DOCS = "doc_id long, text string, row string, fp string, n long"
+
+
+def brute_sets(texts, size):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return out
+
+
+def brute_groups(texts, size=5, least=0.8):
+    sets = brute_sets(texts, size)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-12:
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("often,small,block", [(32, 16, 1024), (2, 0, 5), (10**6, 0, 5)])
+def test_against_brute_force(spark, monkeypatch, often, small, block):
+    for name, value in (("OFTEN", often), ("SMALL", small), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(7)
+    pool = [f"w{i}" for i in range(500)]
+    common, texts = [rng.choice(pool) for _ in range(30)], []
+    for _ in range(12):
+        base = [rng.choice(pool) for _ in range(rng.choice((8, 40, 120)))] + common * rng.choice((0, 1))
+        texts += [" ".join(edited(rng, base, n)) for n in (0, 0, 1, 1, 2, 3, 4, 6)]
+    texts += [None, "", " \n", "a b", "A B", "a b c", "x" * 300_000]
+    rows = [(i if i != 1 else None, t) for i, t in enumerate(texts)]
+    got = jaccard.near_duplicates(spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], DOCS)).collect()
+    roots = brute_groups(texts)
+    low = {r: min(i for (i, _), q in zip(rows, roots) if q == r and i is not None) for r in set(roots)}
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: low[r] for (i, _), r in zip(rows, roots)}
+    assert sum(r["keeper"] for r in got) == len(set(roots))
+
+
+def test_stage_finds_what_four_bits_miss(spark):
+    """Pairs with a similarity of 0.8 or more go, however many bits of their fingerprints differ."""
+    rng = random.Random(2)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(10**4)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1)), " ".join(edited(rng, words, 2))]
+    roots = brute_groups(texts)
+    assert len(set(roots)) < 25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({roots.index(r) for r in roots})
+    assert simhash.near_duplicates(docs).where("keeper").count() > len(kept)
+
+
+def test_empty_table(spark):
+    assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
