@@ -2,8 +2,8 @@
 
 A language is a byte trigram model of lower-cased words, whose counts cover all training texts. A document is taken as
 words that each come from one of its languages: expectation-maximisation estimates the shares of the languages from
-the likelihoods of the words, for the leading language, the leading two and the leading three. The set with the best
-penalised likelihood is the answer.
+the likelihoods of the words, for the leading language, the leading two, the leading three, and on for as long as the
+penalised likelihood grows. The set with the best one is the answer.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from marlstone.llm.common import as_bytes, pick, ranges, text_slices
 
 #: Slots of trigrams (hashed) and of their two-byte contexts, smoothing, symbols it is spread over.
 TRIGRAMS, CONTEXTS, ADD, SYMBOLS = 1 << 17, 1 << 16, 0.2, 64
-ROUNDS, MOST_LANGUAGES = 8, 3
+ROUNDS, TRIED = 8, 3
+#: TRIED: sets of up to so many languages are compared for every text, larger ones while they are better.
 #: Words whose likelihoods a task keeps; words of a training task before they are counted off.
 KNOWN, HELD = 200_000, 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,40 +66,44 @@ class Model:
         """Shares of the languages in documents that each have at least one word; rows of logs are words.
 
         edges[d] is the first word of document d. Languages outside the chosen set have share zero. The second value
-        is the penalised log-likelihood for each number of languages.
+        is the penalised log-likelihood for each number of languages, -inf for those that were not tried.
         """
         n = np.diff(np.append(edges, len(logs)))
-        doc = np.repeat(np.arange(len(n)), n)
         top = logs.max(axis=1, keepdims=True)
         like = np.exp(logs - top)
         base = np.add.reduceat(top[:, 0].astype(np.float64), edges)
 
-        def fit(shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def fit(shares: np.ndarray, rounds: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the documents `who`."""
+            own = like if len(who) == len(n) else like[ranges(edges[who], n[who])]
+            first = np.cumsum(n[who]) - n[who]
+            doc = np.repeat(np.arange(len(who)), n[who])
             for _ in range(rounds):
-                part = like * shares[doc]
+                part = own * shares[doc]
                 part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-                shares = np.add.reduceat(part, edges, axis=0) / n[:, None].astype(np.float32)
-            total = np.add.reduceat(np.log(np.maximum((like * shares[doc]).sum(axis=1), 1e-30).astype(np.float64)), edges)
-            return shares, base + total
+                shares = np.add.reduceat(part, first, axis=0) / n[who, None].astype(np.float32)
+            total = np.add.reduceat(np.log(np.maximum((own * shares[doc]).sum(axis=1), 1e-30).astype(np.float64)), first)
+            return shares, base[who] + total
 
         languages = len(self.names)
-        shares, _ = fit(np.full((len(n), languages), 1 / languages, np.float32), ROUNDS)
+        on = np.arange(len(n))
+        shares, _ = fit(np.full((len(n), languages), 1 / languages, np.float32), ROUNDS, on)
         order = np.argsort(-shares, axis=1, kind="stable")
-        chosen = best = None
-        scores = []
-        for k in range(1, min(MOST_LANGUAGES, languages) + 1):
-            inside = np.zeros_like(shares)
-            np.put_along_axis(inside, order[:, :k], 1, axis=1)
-            start = inside * np.maximum(shares, 1e-3)
-            fitted, value = fit(start / start.sum(axis=1, keepdims=True), 0 if k == 1 else ROUNDS // 2)
-            value = value - 0.5 * k * np.log(n + 1)
-            scores.append(value)
-            if chosen is None:
-                chosen, best = fitted, value
-            else:
-                chosen = np.where((value > best)[:, None], fitted, chosen)
-                best = np.maximum(value, best)
-        return chosen, np.stack(scores, axis=1)
+        chosen, scores = shares.copy(), np.full((len(n), languages), -np.inf)
+        for k in range(1, languages + 1):
+            if k > TRIED:
+                on = on[scores[on, k - 2] > scores[on, k - 3]]
+            if not len(on):
+                break
+            inside = np.zeros_like(shares[on])
+            np.put_along_axis(inside, order[on, :k], 1, axis=1)
+            start = inside * np.maximum(shares[on], 1e-3)
+            fitted, value = fit(start / start.sum(axis=1, keepdims=True), 0 if k == 1 else ROUNDS // 2, on)
+            value = value - 0.5 * k * np.log(n[on] + 1)
+            better = value > scores[on, : k - 1].max(axis=1, initial=-np.inf)
+            chosen[on[better]] = fitted[better]
+            scores[on, k - 1] = value
+        return chosen, scores
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:

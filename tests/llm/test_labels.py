@@ -41,6 +41,17 @@ def test_mixtures(spark):
     assert langid.predict(frame(spark, []), model).collect() == []
 
 
+def test_more_than_three_languages(spark):
+    rng = random.Random(6)
+    letters = {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop", "e": "qrst"}
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(3, 7))) for _ in range(n))
+    model = langid.train(frame(spark, [(i, text(lang, 50), lang) for lang in letters for i in range(10)]))
+    asked = [(k, " ".join(text(lang, 60 - 5 * i) for i, lang in enumerate(list(letters)[:k])), None) for k in range(1, 6)]
+    for r in langid.predict(frame(spark, asked), model).collect():
+        want = {lang: (60 - 5 * i) / sum(60 - 5 * j for j in range(r["doc_id"])) for i, lang in enumerate(list(letters)[: r["doc_id"]])}
+        assert {s["lang"]: s["share"] for s in r["languages"]} == {k: pytest.approx(v, abs=0.02) for k, v in want.items()}
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(3)
     n, right = 20_000, np.array([0.95, 0.9, 0.8, 0.7, 0.55])
