@@ -1,10 +1,11 @@
-"""Repeated word sequences, by suffix trees over prefix-partitioned suffixes.
+"""Repeated word sequences, by digests of fixed length over prefix-partitioned suffixes.
 
 Every word of a text starts a suffix; here it counts down to `span` words, since a repeat is a node at least that deep.
 A first pass counts the prefixes of one to four words in tables of fixed size. A prefix whose suffixes fit in memory
-makes (or shares) a group; a more frequent one is lengthened by a word. In each group the suffixes are sorted along
-their paths, and every node at depth `span` with two or more leaves is a repeat: all leaves but the first are reported.
-Nodes are told apart by their group and a 64-bit digest of the path. Runs of reported leaves are the maximal repeats.
+makes (or shares) a group; a more frequent one is lengthened by a word. No suffix tree is built: of a suffix a group
+gets the 64-bit digest of its first `span` words alone, and sorts these. Equal digests are a node at depth `span`, the
+only depth that removal asks for, and all its leaves but the first are reported. Nodes below are not known. Runs of
+reported leaves are what is removed; two different repeats side by side make one run.
 
 Before anything is sent, a task reports what repeats among its own suffixes and keeps their first leaf alone, so that
 a passage in a third of all documents reaches its group once for each task and not once for each document.
