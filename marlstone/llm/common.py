@@ -1,12 +1,15 @@
-"""What the operators of this subpackage share: staging, batches, text and components."""
+"""What the operators of this subpackage share: staging, batches, what a process keeps, text and components."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
+import shutil
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +22,81 @@ ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one in the warehouse.
+
+    A session on one machine (a local master) that has no such setting gets a temporary folder.
+    """
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = context._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else tempfile.mkdtemp(prefix="marlstone-")
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            folder = known.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="marlstone-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession):
+    """Shuffle files of the queries that run inside are deleted as soon as their results have been written."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df now and cut its lineage with a reliable checkpoint, which Spark deletes with the last reference."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with own_shuffles(df.sparkSession):
+        return df.checkpoint()
 
 
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet to the shared folder; returns the table that was read back, and its path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path), path
+    """Write df as Parquet to the shared folder; returns the table that was read back, and its path.
+
+    What nobody deletes before goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(spark, path)
+    return spark.read.parquet(path), path
+
+
+def gathered(df: DataFrame) -> pa.Table:
+    """A result of bounded size, on the driver."""
+    with own_shuffles(df.sparkSession):
+        return df.toArrow()
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
 
 
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing will read again."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -54,6 +104,26 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def free_names(columns: list[str], wanted: tuple[str, ...]) -> dict[str, str]:
+    """A name for each wanted column that no column has: its own, with as many underscores as it takes.
+
+    Names that differ by case alone clash, as they do in Spark.
+    """
+    taken, out = {c.lower() for c in columns}, {}
+    for name in wanted:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out[name] = free
+    return out
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as Spark's parser takes them, whatever they hold."""
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text each; a longer text stands alone."""
     for batch in batches:
@@ -103,25 +173,66 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-#: Words this process has hashed, up to KNOWN of them.
-_HASHES: dict[bytes, int] = {}
-KNOWN = 300_000
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Codes of all words of the texts, one after the other, the len(texts) + 1 edges between texts, and the words by code.
+
+    Words stand between ASCII white space; null has none.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    codes, words = found.indices.to_numpy(), found.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in words:  # stands for white space at either end
+        empty = words.index(b"")
+        real = codes != empty
+        edges = np.concatenate([[0], np.cumsum(real)])[edges]
+        codes = codes[real]
+        codes = codes - (codes > empty)
+        del words[empty]
+    return codes.astype(np.int64), edges, words
+
+
+#: What this process keeps from task to task, by operator and name.
+_KEPT: dict[tuple, object] = {}
+#: Words that a process keeps have at most so many bytes, which bounds its tables in bytes.
+LONGEST = 64
+
+
+def kept(owner: str, name, make: Callable):
+    """What `owner` keeps in this process under `name`. A process keeps things of one operator only; others' go first."""
+    if (owner, name) not in _KEPT:
+        if any(o != owner for o, _ in _KEPT):
+            _KEPT.clear()
+            trim()
+        _KEPT[owner, name] = make()
+    return _KEPT[owner, name]
+
+
+def trim() -> None:
+    """Give back the memory that this process does not use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def each_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), whose tasks give back their memory at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(task, schema)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of every word."""
     from xxhash import xxh64_intdigest
 
-    out, known = [], _HASHES
-    get, add = known.get, out.append
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = xxh64_intdigest(w, 7)
-            if len(known) < KNOWN:
-                known[w] = h
-        add(h)
-    return np.array(out, np.uint64)
+    return np.array([xxh64_intdigest(w, 7) for w in words], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -141,11 +252,3 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
     return mix(out)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results have been written: it does so for collected plans."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

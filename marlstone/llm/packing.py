@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, pick, stage, text_slices
+from marlstone.llm.common import each_batch, pick, stage, text_slices
 from marlstone.llm.tokens import END_ID, coder
 
 
@@ -218,8 +218,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         encode = coder(tokenizer, end_id).encode
         context = TaskContext.get()
         part, seen = context.partitionId() if context else 0, np.zeros(size + 1, np.int64)
-        for batch in text_slices(batches, most=500_000):
-            ids, edges = encode(as_bytes(batch.column(1)))
+        for batch in text_slices(batches, most=2_000_000):
+            ids, edges = encode(batch.column(1))
             raw = memoryview(np.ascontiguousarray(ids).view(np.uint8))
             rows, pieces, starts, lengths, crc, nth = [], [], [], [], [], []
             for row, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
@@ -234,7 +234,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     seen[y - x] += 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(nth, pa.int64())], names=[f.name for f in schema])
 
-    return source.mapInArrow(cut_up, schema)
+    return each_batch(source, cut_up, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = END_ID) -> DataFrame:
@@ -267,4 +267,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=[f.name for f in schema])
 
-    return ranked.mapInArrow(place, schema)
+    return each_batch(ranked, place, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, pick, text_slices
+from marlstone.llm.common import each_batch, pick, text_slices
 from marlstone.llm.tokens import END_ID, coder
 
 
@@ -86,8 +86,8 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             docs_in, sizes, held, count = [], [], [], 0
             return row
 
-        for batch in text_slices(batches, most=500_000):
-            ids, edges = encode(as_bytes(batch.column(1)))
+        for batch in text_slices(batches, most=2_000_000):
+            ids, edges = encode(batch.column(1))
             docs_in.append(batch.column(0))
             sizes.append(np.diff(edges))
             held.append(ids)
@@ -97,7 +97,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         if docs_in:
             yield flush()
 
-    ordered.mapInArrow(chunks, schema).write.option("compression", "none").parquet(path)
+    each_batch(ordered, chunks, schema).write.option("compression", "none").parquet(path)
 
 
 def read_token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +120,7 @@ def read_token_table(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(n), pa.int32()), docs.values, pa.array(ends - n + start.as_py(), pa.int64()), pa.array(n), pa.array(crc, pa.int64())], names=[f.name for f in schema])
 
-    rows = table.select("part", "part_start", "doc_ids", "doc_sizes", "block_sizes", "planes").mapInArrow(decode, schema)
+    rows = each_batch(table.select("part", "part_start", "doc_ids", "doc_sizes", "block_sizes", "planes"), decode, schema)
     totals = table.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))

@@ -1,111 +1,155 @@
-"""Token ids of whole texts, by the tokenizers library and a bounded table of words already seen."""
+"""Token ids of whole texts, by the tokenizers library and bounded tables of words and pieces already seen."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
 
-from marlstone.llm.common import ranges
+from marlstone.llm.common import LONGEST, kept, ranges, split_words
 
 #: Id that ends every document.
 END_ID = 1
+#: Fixed value: the splitting pattern of the vocabularies whose words are cut into pieces here.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of other characters may change their NFC form, or not lower-case letter by letter.
+_OTHER = re.compile(r"[^\n!-~À-ÖØ-öø-ÿ]")
+#: PATTERN on lower-cased words of those characters, each in a line of its own.
+_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 
 
 class _Codes(dict):
-    """Word -> code; an unknown word gets the next code."""
+    """Key -> code; an unknown key gets the next code."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list = []
 
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, key) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
         return code
 
 
+class _Ids:
+    """Ids of keys by code. Keys beyond the first `known`, and long ones, are forgotten with the next call."""
+
+    def __init__(self, known: int):
+        self.known = known
+        self.codes = _Codes()
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.kept, self.used = 0, 0
+
+    def look_up(self, keys: list, tell) -> np.ndarray:
+        """Codes of keys; tell(new keys) gives the ids of those that are new, one after the other, and how many each has."""
+        for key in self.codes.new:
+            del self.codes[key]
+        self.codes.new = []
+        codes = np.fromiter(map(self.codes.__getitem__, keys), np.int64, len(keys))
+        new = self.codes.new
+        if new:
+            flat, lengths = tell(new)
+            while len(self.flat) < self.used + len(flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while len(self.starts) < self.kept + len(new):
+                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.lengths[self.kept : self.kept + len(new)] = lengths
+            self.starts[self.kept : self.kept + len(new)] = self.used + np.cumsum(lengths) - lengths
+            # The first of the new ones stay, up to the bound and to the first long one.
+            stay = 0
+            while stay < len(new) and self.kept + stay < self.known and len(new[stay]) <= LONGEST:
+                stay += 1
+            self.codes.new = new[stay:]
+            self.used += int(np.sum(lengths[:stay]))
+            self.kept += stay
+        return codes
+
+    def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the codes of the last call, one after the other, and how many each has."""
+        lengths = self.lengths[codes]
+        return self.flat[ranges(self.starts[codes], lengths)], lengths
+
+
 class WordTokenizer:
     """Encodes texts white-space piece by white-space piece.
 
     The vocabulary's normaliser, its splitting pattern and its added tokens never look across ASCII white space, so
-    the ids of a text are those of its pieces in order (the tests compare both). `known` bounds the table of pieces;
-    once it is full, further pieces are encoded for their batch and forgotten.
+    the ids of a text are those of its words in order. Words of plain characters are lower-cased and cut by the same
+    pattern here, if it is the vocabulary's, so that the library encodes each distinct piece once; all others it gets
+    whole (the tests compare both with the library's own ids). Tables of words and pieces are bounded in bytes.
     """
 
-    def __init__(self, path: str, known: int = 600_000, end_id: int | None = END_ID):
+    def __init__(self, path: str, known: int = 200_000, end_id: int | None = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.end_id = known, end_id
-        self.codes = _Codes()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.used = 0
-        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _pieces(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word. Most are encoded in one call, between marks that none of them holds."""
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if self.mark is not None and b"\x01" not in w and b"<|" not in w]
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = np.array(self.tokenizer.encode(" \x01 ".join(words[i].decode() for i in part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                continue
-            for i, x, y in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                out[i] = ids[x:y]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch([words[i].decode() for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and the len(texts) + 1 edges between them. None counts as empty."""
-        split = [t.split() if t else [] for t in texts]
-        counts = np.array([len(s) for s in split], np.int64)
-        before = len(self.codes)
-        get = self.codes.__getitem__
-        codes = np.array([c for s in split for c in map(get, s)], np.int64)
-        new, used = self.codes.new, self.used
-        if new:
-            pieces = self._pieces(new)
-            lengths = np.array([len(p) for p in pieces], np.int64)
-            total = int(lengths.sum())
-            while len(self.ids) < used + total:
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while len(self.starts) < before + len(new):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.ids[used : used + total] = np.concatenate(pieces) if total else []
-            self.lengths[before : before + len(new)] = lengths
-            self.starts[before : before + len(new)] = used + np.cumsum(lengths) - lengths
-            self.used = used + total
-        lengths = self.lengths[codes]
-        flat = self.ids[ranges(self.starts[codes], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
+        self.end_id = end_id
+        self.words, self.pieces = _Ids(known), _Ids(2 * known)
+        self.pieces.look_up(["\n"], self._pieces)
+        with open(path, encoding="utf-8") as file:
+            rule = json.load(file)
+        steps = [x.get("type") for x in ((rule.get("normalizer") or {}).get("normalizers") or [])]
+        split = ((rule.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.cuts = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == PATTERN and split.get("behavior") == "Removed"
+        # Words that hold an added token are for the library alone.
+        self.added = [t["content"] for t in rule.get("added_tokens") or []]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces by the library, many in one call; the end of a line has none."""
+        flat, lengths = [], []
+        for a in range(0, len(pieces), 256):
+            part = pieces[a : a + 256]
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(found.ids, np.uint32))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _plain(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain characters, each with the end of its line."""
+        codes = self.pieces.look_up(_PIECES.findall(lines.lower()), self._pieces)
+        flat, sizes = self.pieces.ids(codes)
+        ends = np.cumsum(sizes)[codes == self.pieces.codes["\n"]]
+        return flat, np.diff(np.concatenate([[0], ends]))
+
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that were not met before."""
+        lines = b"\n".join(words).decode()
+        if self.cuts and not _OTHER.search(lines) and not any(x in lines for x in self.added):
+            return self._plain(lines + "\n")
+        texts = lines.split("\n")
+        plain = np.array([self.cuts and not _OTHER.search(t) and not any(x in t for x in self.added) for t in texts], bool)
+        flat, sizes = self._plain("".join(t + "\n" for t, p in zip(texts, plain.tolist()) if p))
+        other, other_sizes = self._encode([t for t, p in zip(texts, plain.tolist()) if not p])
+        lengths, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        lengths[plain], lengths[~plain] = sizes, other_sizes
+        starts[plain], starts[~plain] = np.cumsum(sizes) - sizes, len(flat) + np.cumsum(other_sizes) - other_sizes
+        return np.concatenate([flat, other])[ranges(starts, lengths)], lengths
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the len(texts) + 1 edges between them. Null counts as empty."""
+        codes, edges, words = split_words(texts)
+        flat, lengths = self.words.ids(self.words.look_up(words, self._new)[codes])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[edges[1:]]
         sizes = np.diff(np.concatenate([[0], ends])).astype(np.int64)
         if self.end_id is not None:
             flat = np.insert(flat, ends, self.end_id)
             sizes = sizes + 1
-        if len(self.codes) > self.known:  # forget what came last
-            for word in new:
-                if self.codes[word] >= self.known:
-                    del self.codes[word]
-            self.used = int(self.starts[self.known - 1] + self.lengths[self.known - 1])
-        self.codes.new = []
         return flat.astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-_CODERS: dict[tuple, WordTokenizer] = {}
-
-
 def coder(path: str, end_id: int | None = END_ID) -> WordTokenizer:
     """This process's tokenizer for path; Python workers keep it, with the words it knows, from task to task."""
-    if (path, end_id) not in _CODERS:
-        _CODERS[path, end_id] = WordTokenizer(path, end_id=end_id)
-    return _CODERS[path, end_id]
+    return kept("tokens", (path, end_id), lambda: WordTokenizer(path, end_id=end_id))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -11,7 +12,7 @@ from marlstone.llm.tokens import WordTokenizer
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 DOCS = "doc_id long, text string, length string, part string"
-ODD = [None, "", " ", "a\x01b <|endoftext|> x<|startoftext|>y É É T̈ \x01", "\x85a b\xa0c it's don'tt 12 34 ½ ", "<|STARTOFTEXT|> İ ǅ ﬁ", "你好 мир x", "A" * 3000, "word " * 5000]
+ODD = [None, "", " ", "a\x01b <|endoftext|> x<|startoftext|>y É É T̈ \x01", "\x85a b\xa0c it's don'tt 12 34 ½ ", "<|STARTOFTEXT|> İ ǅ ﬁ", "It's WE'LL x__y!! ÀÉßü×÷ µª²", "你好 мир x", "A" * 3000, "word " * 5000]
 
 
 @pytest.fixture(scope="module")
@@ -26,13 +27,13 @@ def texts(n=40, seed=1):
     return [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 120))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("known", [5, 600_000])
+@pytest.mark.parametrize("known", [5, 200_000])
 def test_pieces_equal_whole_texts(whole, known):
     coder = WordTokenizer(PATH, known=known)
     rows = ODD + texts()
     for a in range(0, len(rows), 7):
         part = rows[a : a + 7]
-        ids, edges = coder.encode([None if t is None else t.encode() for t in part])
+        ids, edges = coder.encode(pa.array(part, pa.string()))
         assert [ids[x:y].tolist() for x, y in zip(edges, edges[1:])] == [whole(t) for t in part]
 
 
