@@ -124,7 +124,7 @@ def quoted(columns: list[str]) -> list[str]:
     return [f"`{c.replace('`', '``')}`" for c in columns]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text each; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -252,3 +252,22 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
     return mix(out)
+
+
+def winnow(h: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of `span` words: its fingerprint (the least k-gram hash in it) and where that k-gram starts.
+
+    The last of several least ones is taken. Fewer words have no window.
+    """
+    grams = gram_hashes(h, k)
+    width = span - k + 1
+    n = len(grams) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    best, at = grams[:n].copy(), np.arange(n)
+    for j in range(1, width):
+        other = grams[j : j + n]
+        lower = other <= best
+        best = np.where(lower, other, best)
+        at = np.where(lower, np.arange(n) + j, at)
+    return best, at

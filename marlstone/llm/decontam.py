@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, gram_hashes, mix, pick, stage, text_slices, word_hashes
+from marlstone.llm.common import as_bytes, each_batch, gram_hashes, mix, pick, stage, text_slices, winnow, word_hashes
 
 #: ASCII bytes other than digits and letters end a word; capital letters count as small ones.
 _TABLE = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -29,25 +29,6 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def winnow(h: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of `span` words: its fingerprint (the least k-gram hash in it) and where that k-gram starts.
-
-    The last of several least ones is taken. Fewer words have no window.
-    """
-    grams = gram_hashes(h, k)
-    width = span - k + 1
-    n = len(grams) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    best, at = grams[:n].copy(), np.arange(n)
-    for j in range(1, width):
-        other = grams[j : j + n]
-        lower = other <= best
-        best = np.where(lower, other, best)
-        at = np.where(lower, np.arange(n) + j, at)
-    return best, at
-
-
 def _short_key(h: np.ndarray, n: int) -> np.ndarray:
     """Keys of all runs of n words, for items shorter than a window; n keeps lengths apart."""
     return mix(gram_hashes(h, n) + np.uint64(n))

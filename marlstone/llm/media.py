@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, pick, text_slices
+from marlstone.llm.common import as_bytes, each_batch, pick, text_slices
 
 #: Fixed values of the transport stream format.
 SYNC, PACKET, PAT_PID, NULL_PID, CLOCK = 0x47, 188, 0x0000, 0x1FFF, 90_000
@@ -210,7 +210,7 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 entries.append([{"stamp": s, "packet": p} for s, p in found["entries"]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array(stamps, pa.list_(pa.int64())), pa.array(entries, pa.list_(pa.struct([("stamp", pa.int64()), ("packet", pa.int32())])))], names=[f.name for f in schema])
 
-    source.mapInArrow(store, schema).write.option("compression", "zstd").parquet(path)
+    each_batch(source, store, schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -233,7 +233,7 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in columns)], names=[f.name for f in schema])
 
-    return table.mapInArrow(load, schema)
+    return each_batch(table, load, schema)
 
 
 def transport_streams(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

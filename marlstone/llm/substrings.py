@@ -1,18 +1,24 @@
-"""Repeated word sequences, by digests of fixed length over prefix-partitioned suffixes.
-
-Every word of a text starts a suffix; here it counts down to `span` words, since a repeat is a node at least that deep.
-A first pass counts the prefixes of one to four words in tables of fixed size. A prefix whose suffixes fit in memory
-makes (or shares) a group; a more frequent one is lengthened by a word. No suffix tree is built: of a suffix a group
-gets the 64-bit digest of its first `span` words alone, and sorts these. Equal digests are a node at depth `span`, the
-only depth that removal asks for, and all its leaves but the first are reported. Nodes below are not known. Runs of
-reported leaves are what is removed; two different repeats side by side make one run.
-
-Before anything is sent, a task reports what repeats among its own suffixes and keeps their first leaf alone, so that
-a passage in a third of all documents reaches its group once for each task and not once for each document.
+"""Repeated word sequences, by prefix-partitioned suffix trees.
+
+Every word of a text starts a suffix. A repeat of `span` words is a node of the suffix tree at that depth or deeper, so
+trees are cut at `span` words, and only suffixes that can lie below such a node are dealt with: of every window of
+`span` words the least 10-gram (by hash) is its anchor, equal windows have equal anchors, and suffixes whose anchor
+occurs once in the whole corpus are left out.
+
+The others are split by prefixes of variable length. A prefix of one word whose suffixes fit in memory makes (or
+shares) a group; one that has too many is lengthened by a word, and again, until it fits. A group's suffixes are sorted
+along their words; the lengths of common prefixes of neighbours are its tree, whose internal nodes at depth `span` are
+the repeats. All leaves of such a node but the first are reported, and runs of reported leaves are what is removed.
+Words are compared by a hash of 32 bits each, and whole paths by one of 64 bits beside.
+
+Before anything is sent, a task builds the tree of its own suffixes, reports what repeats there and sends the first
+leaf of each node alone, so that a passage in a third of all documents reaches its group once for each batch and not
+once for each document; prefixes are counted alike.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -23,63 +29,170 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, gram_hashes, pick, ranges, release, stage, text_slices, word_hashes
+from marlstone.llm.common import as_bytes, drop_stage, each_batch, free_names, gathered, gram_hashes, mix, own_shuffles, pick, quoted, ranges, split_words, stage, text_slices, winnow, word_hashes
 
-SPAN = 20
-#: Longest prefix in words, slots of each table of prefix counts, suffixes of a group, suffixes sorted by a task at once.
-LEVELS, SLOTS, GROUP, HELD = 4, 1 << 16, 1_500_000, 800_000
+SPAN, ANCHOR = 20, 10
+#: Suffixes of a group, suffixes that a task sorts at once, and suffixes of a row of runs.
+GROUP, HELD, RUN = 400_000, 250_000, 50_000
+ADDED = ("n_words", "n_removed", "kept", "spans")
 
 
-def _prefixes(h: np.ndarray, span: int) -> list[np.ndarray]:
-    """For every suffix of at least `span` words, the slots of its prefixes of 1, 2, ... words."""
-    n = len(h) - span + 1
-    return [(gram_hashes(h, k)[:n] % np.uint64(SLOTS)).astype(np.int64) for k in range(1, min(LEVELS, span) + 1)]
+def _windows(texts: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, edges between texts, starts of all windows of `span` words, and where each has its anchor."""
+    codes, edges, words = split_words(texts)
+    h = word_hashes(words)[codes]
+    n = np.diff(edges)
+    starts = ranges(edges[:-1], np.maximum(n - span + 1, 0))
+    return h, edges, starts, winnow(h, span, min(ANCHOR, span))[1][starts] if len(starts) else starts
 
 
-def prefix_groups(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> np.ndarray:
-    """Group of every prefix slot by level, -1 where the prefix has to be longer; docs has row, text and more.
+def repeated_anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, row, hits): for documents that have some, the places of anchors that occur more than once in the corpus."""
+    schema = T.StructType([docs.schema["id"], T.StructField("row", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
 
-    The counts cover all suffixes of all documents. Their tables, and so what the driver gets, have a fixed size.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, column=2):
+            h, edges, starts, at = _windows(batch.column(2), span)
+            at = np.unique(at)
+            doc = np.searchsorted(edges, at, side="right") - 1
+            keys = gram_hashes(h, min(ANCHOR, span))[at].view(np.int64) if len(at) else at
+            has, counts = np.unique(doc, return_counts=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(keys, pa.int64()), pa.array((at - edges[doc]).astype(np.int32)))]
+            take = pa.array(has, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], names=[f.name for f in schema])
+
+    anchors, path = stage(each_batch(docs.select("id", "row", "text"), run, schema), "anchors")
+    repeated = anchors.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    places = anchors.select("id", "row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("id", "row", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
+    hits, _ = stage(places.join(repeated, "key", "left_semi").groupBy("id", "row").agg(F.collect_set("place").alias("hits")), "hits")
+    drop_stage(docs.sparkSession, path)
+    return hits
+
+
+def candidate_runs(docs: DataFrame, hits: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, row, start, n, words): runs of n suffixes whose anchors repeat, and the hashes of their words."""
+    hits = hits.select(F.col("id").alias("hit_id"), F.col("row").alias("hit_row"), "hits")
+    both = docs.join(hits, docs["id"].eqNullSafe(hits["hit_id"]) & (docs["row"] == hits["hit_row"])).select("id", "row", "text", "hits")
+    schema = T.StructType([docs.schema["id"], T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, column=2):
+            h, edges, starts, at = _windows(batch.column(2), span)
+            hit = np.zeros(len(h), bool)
+            lists = batch.column(3)
+            hit[np.repeat(edges[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()] = True
+            starts = starts[hit[at]]
+            first = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
+            n = np.diff(np.append(first, len(starts)))
+            pieces = -(-n // RUN)
+            part = ranges(np.zeros(len(n), np.int64), pieces)
+            begin = np.repeat(starts[first], pieces) + part * RUN
+            size = np.minimum(np.repeat(n, pieces) - part * RUN, RUN)
+            doc = np.searchsorted(edges, begin, side="right") - 1
+            take = pa.array(doc, pa.int64())
+            words = [h[a : a + k + span - 1].tobytes() for a, k in zip(begin.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((begin - edges[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(words, pa.binary())], names=[f.name for f in schema])
+
+    return each_batch(both, run, schema)
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of runs with about `most` suffixes each."""
+    held, count = [], 0
+    for batch in batches:
+        sizes = np.cumsum(batch.column("n").to_numpy())
+        edges = [0, *(np.flatnonzero(np.diff(sizes // most)) + 1).tolist(), batch.num_rows]
+        for a, b in itertools.pairwise(edges):
+            held.append(batch.slice(a, b - a))
+            count += int(sizes[b - 1] - (sizes[a - 1] if a else 0)) if b else 0
+            if count >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _suffixes(batch: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the runs, where their suffixes start in them, and the run and the start of each suffix."""
+    n = batch.column("n").to_numpy().astype(np.int64)
+    h = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64)
+    at = ranges(np.cumsum(n + span - 1) - (n + span - 1), n)
+    return h, at, np.repeat(np.arange(len(n)), n), ranges(batch.column("start").to_numpy().astype(np.int64), n)
+
+
+def _paths(h: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The paths of suffixes: `span` words of 32 bits, then a digest of them all; in the order of the words."""
+    out = np.zeros((len(at), 4 * span + 8), np.uint8)
+    if len(at):
+        words = np.lib.stride_tricks.sliding_window_view((h >> np.uint64(32)).astype(">u4"), span)[at]
+        out[:, : 4 * span] = np.ascontiguousarray(words).view(np.uint8).reshape(len(at), -1)
+        out[:, 4 * span :] = gram_hashes(h, span)[at].astype(">u8").view(np.uint8).reshape(len(at), -1)
+    return out.reshape(-1).view(f"S{4 * span + 8}")
+
+
+def common_words(paths: np.ndarray, span: int) -> np.ndarray:
+    """Of sorted paths, how many words each shares with the one before; whole paths share `span` only if digests agree."""
+    flat = paths.view(np.uint8).reshape(len(paths), -1)
+    differ = flat[1:] != flat[:-1]
+    some = differ.any(axis=1)
+    return np.concatenate([[0], np.where(some, np.minimum(differ.argmax(axis=1) // 4, span - 1), span)]).astype(np.int64)
+
+
+def deep_nodes(paths: np.ndarray, doc: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tree of the suffixes, the leaves that follow another leaf of their node at depth `span`, and of every
+    path the first leaf; leaves come in the order of doc and start, and equal ones are one."""
+    if not len(paths):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(paths, kind="stable")
+    head = common_words(paths[order], span) < span
+    node = np.cumsum(head) - 1
+    order = order[np.lexsort((start[order], doc[order], node))]
+    first = order[head]
+    lead = first[node]
+    return order[(doc[order] != doc[lead]) | (start[order] != start[lead])], first
+
+
+def _in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+def full_prefixes(runs: DataFrame, span: int = SPAN, group: int = GROUP) -> list[np.ndarray]:
+    """Hashes of the prefixes of one word, two words, ... that have more than `group` suffixes and so get longer.
+
+    At most (suffixes / group) of each length. Equal suffixes of a batch count once, as they are sent once.
     """
-    levels = min(LEVELS, span)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((levels, SLOTS), np.int64)
-        for batch in text_slices(batches, column=0):
-            for text in as_bytes(batch.column(0)):
-                words = text.split() if text else []
-                if len(words) >= span:
-                    for level, slots in enumerate(_prefixes(word_hashes(words), span)):
-                        total[level] += np.bincount(slots, minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["slot", "n"])
-
-    counted = np.zeros(levels * SLOTS, np.int64)
-    for row in docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counted[row["slot"]] = row["n"]
-    counted = counted.reshape(levels, SLOTS)
-    out = np.full((levels, SLOTS), -1, np.int32)
-    next_group = 0
-    for level in range(levels):
-        fits = np.arange(SLOTS) if level == levels - 1 else np.flatnonzero(counted[level] <= group)
-        # Small prefixes share a group.
-        out[level, fits] = next_group + np.cumsum(counted[level, fits]) // group
-        next_group = int(out[level].max()) + 1
+    out: list[np.ndarray] = []
+    while len(out) < span - 1:
+        sent = runs.sparkSession.sparkContext.broadcast(out[-1] if out else None)
+        level = len(out) + 1
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _held(batches, HELD):
+                h, at, _, _ = _suffixes(batch, span)
+                at = at[np.unique(gram_hashes(h, span)[at], return_index=True)[1]]
+                if sent.value is not None:
+                    at = at[_in(sent.value, gram_hashes(h, level - 1)[at])]
+                prefixes, n = np.unique(gram_hashes(h, level)[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(prefixes.view(np.int64)), pa.array(n)], names=["prefix", "n"])
+
+        counted = each_batch(runs.select("start", "n", "words"), count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+        full = gathered(counted.where(F.col("n") > group).select("prefix")).column("prefix").to_numpy().view(np.uint64)
+        if not len(full):
+            break
+        out.append(np.sort(full))
     return out
 
 
-def _repeats(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the leaves that follow another leaf of their node, and of the first leaf of every node."""
-    order = np.argsort(keys, kind="stable")
-    same = np.concatenate([[False], keys[order][1:] == keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
-    shared = same | np.concatenate([same[1:], [False]]) if len(keys) else same
-    single, many = order[~shared], order[shared]
-    many = many[np.lexsort((start[many], doc[many], keys[many]))]
-    head = np.concatenate([[True], keys[many][1:] != keys[many][:-1]]) if len(many) else np.zeros(0, bool)
-    first = many[head]
-    lead = first[np.cumsum(head) - 1] if len(many) else many
-    later = (doc[many] != doc[lead]) | (start[many] != start[lead])
-    return many[later], np.concatenate([single, first])
+def _groups(h: np.ndarray, at: np.ndarray, full: list[np.ndarray], groups: int) -> np.ndarray:
+    """The group of every suffix: that of its shortest prefix that is not too full."""
+    out = np.full(len(at), -1, np.int64)
+    for level in range(1, len(full) + 2):
+        prefix = gram_hashes(h, level)[at]
+        fits = ~_in(full[level - 1], prefix) if level <= len(full) else np.ones(len(at), bool)
+        out = np.where((out < 0) & fits, (mix(prefix + np.uint64(level)) % np.uint64(groups)).astype(np.int64), out)
+    return out
 
 
 def _dense_order(ids: pa.Array, rows: pa.Array) -> np.ndarray:
@@ -103,160 +216,113 @@ def _flat(table: pa.Table, column: str) -> pa.Array:
     return pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The documents that occur, and the sorted starts of each as unsigned 32-bit integers."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype("<u4")
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
-    return doc[edges[:-1]] if len(doc) else doc, [start[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-
-
 def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """(id, row, starts): for documents that have some, the starts of `span`-word windows that occur earlier.
 
-    docs has id, row (tells apart documents that share an id) and text. starts is packed, one row for a document. A
-    group answers in as many packed shards of documents as there are groups, so that its rows do not depend on how
-    many documents its leaves come from.
+    docs has id, row (tells apart documents that share an id) and text. starts is a list of packed 32-bit integers,
+    one item for each group that found some.
     """
     spark = docs.sparkSession
-    table = prefix_groups(docs, span, group)
-    sent, shards = spark.sparkContext.broadcast(table), int(table.max()) + 1
-    id_type = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("repeat", T.BooleanType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType()), T.StructField("starts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        groups = sent.value
-        held: list[tuple[np.ndarray, ...]] = []
-        ids, rows, n_docs, count = [], [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, ids, rows, n_docs, count
-            pack = zstandard.ZstdCompressor(level=1).compress
-            keys, own, doc, start = (np.concatenate(x) for x in zip(*held))
-            names, tags = pa.concat_arrays(ids), pa.concat_arrays(rows)
-            place = _dense_order(names, tags)
-            repeat, first = _repeats(keys, place[doc], start)
+    hits = repeated_anchors(docs, span)
+    runs, _ = stage(candidate_runs(docs, hits, span), "runs")
+    full = full_prefixes(runs, span, group)
+    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, -(-2 * total // group))
+    sent = spark.sparkContext.broadcast(full)
+    id_field = docs.schema["id"]
+    lists = [T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("rows", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("repeat", T.BooleanType()), *lists, *(T.StructField(c, T.BinaryType()) for c in ("counts", "starts", "paths"))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _held(batches, HELD):
+            h, at, run, start = _suffixes(batch, span)
+            names, tags = batch.column("id"), batch.column("row")
+            doc = _dense_order(names, tags)
+            of = np.zeros(len(doc), np.int64)
+            of[doc[::-1]] = np.arange(len(doc))[::-1]  # a run of each document
+            doc = doc[run]
+            paths = _paths(h, at, span)
+            repeat, first = deep_nodes(paths, doc, start, span)
+            own = _groups(h, at, sent.value, groups)
+            # What is known to repeat needs no tree and goes to any group, so that a frequent passage does not fill its own.
+            known = np.full(len(own), crc32(f"{names[0]}/{tags[0]}/{start[0]}".encode()) % groups)
             out: list[tuple] = []
-            for chosen, known in ((first, False), (repeat, True)):
-                # By group, then in the order of documents and places, which packs well. What is known to repeat needs
-                # no group and goes to any, so that a frequent passage does not gather in its own.
-                to = np.full(len(own), crc32(f"{names[0]}/{start[-1]}/{len(own)}".encode()) % shards, np.int32) if known else own
+            for chosen, to, told in ((first, own, False), (repeat, known, True)):
                 order = chosen[np.lexsort((start[chosen], doc[chosen], to[chosen]))]
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]]) if len(order) else [0]
-                for a, b in zip(edges[:-1], edges[1:]):
+                edges = [0, *(np.flatnonzero(np.diff(to[order])) + 1).tolist(), len(order)] if len(order) else [0]
+                for a, b in itertools.pairwise(edges):
                     part = order[a:b]
                     which, n = np.unique(doc[part], return_counts=True)
-                    out.append((int(to[part[0]]), known, names.take(pa.array(which)), tags.take(pa.array(which)), pack(n.astype("<u4").tobytes()), pack(np.diff(start[part], prepend=0).astype("<i4").tobytes()), b"" if known else keys[part].astype("<u8").tobytes()))
-            held, ids, rows, n_docs, count = [], [], [], 0, 0
-            sizes = pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(sizes, pa.concat_arrays([x[i] for x in out])) for i in (2, 3)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out]), *lists, *(pa.array([x[i] for x in out], pa.binary()) for i in (4, 5, 6))], names=[f.name for f in schema])
-
-        for batch in text_slices(batches, column=2):
-            for at, text in enumerate(as_bytes(batch.column(2))):
-                words = text.split() if text else []
-                n = len(words) - span + 1
-                if n <= 0:
-                    continue
-                h = word_hashes(words)
-                own = np.full(n, -1, np.int32)
-                for level, slots in enumerate(_prefixes(h, span)):
-                    own = np.where(own < 0, groups[level][slots], own)
-                held.append((gram_hashes(h, span), own, np.full(n, n_docs + at, np.int32), np.arange(n, dtype=np.int32)))
-                count += n
-            ids.append(batch.column(0))
-            rows.append(batch.column(1))
-            n_docs += batch.num_rows
-            if count >= HELD:
-                yield flush()
-        if held:
-            yield flush()
+                    take = pa.array(of[which])
+                    out.append((int(to[part[0]]), told, names.take(take), tags.take(take), n.astype("<u4").tobytes(), start[part].astype("<u4").tobytes(), b"" if told else paths[part].tobytes()))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]), pa.int32())
+            packed = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([x[i] for x in out])) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), *packed, *(pa.array([x[i] for x in out], pa.binary()) for i in (4, 5, 6))], names=[f.name for f in schema])
 
     def subtree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        table = table.combine_chunks()
-        read = lambda name, kind: [np.frombuffer(unpack(x), kind) for x in table.column(name).to_pylist()]
+        read = lambda name: [np.frombuffer(x, "<u4") for x in table.column(name).to_pylist()]
         names, tags = _flat(table, "ids"), _flat(table, "rows")
         place = _dense_order(names, tags)
-        counts, starts = read("counts", "<u4"), read("starts", "<i4")
-        sizes = np.array([len(x) for x in starts], np.int64)
+        counts, starts = read("counts"), read("starts")
         n_docs = np.array([len(x) for x in counts], np.int64)
         doc = np.repeat(ranges(np.cumsum(n_docs) - n_docs, n_docs), np.concatenate(counts))
-        start = np.concatenate([np.cumsum(x) for x in starts])
-        known = np.repeat(table.column("repeat").to_numpy(), sizes)
+        start = np.concatenate(starts).astype(np.int64)
+        known = np.repeat(table.column("repeat").to_numpy(), [len(x) for x in starts])
         fresh = np.flatnonzero(~known)
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8")
-        repeat, _ = _repeats(keys, place[doc[fresh]], start[fresh])
-        all_repeats = np.concatenate([np.flatnonzero(known), fresh[repeat]])
-        which, packed = _by_doc(doc[all_repeats], start[all_repeats])
-        names, tags = names.take(pa.array(which)), tags.take(pa.array(which))
-        shard = np.array([crc32(f"{i}/{r}".encode()) % shards for i, r in zip(names.to_pylist(), tags.to_pylist())], np.int64)
-        order = np.argsort(shard, kind="stable")
-        found, edges = np.unique(shard[order], return_index=True)
-        edges = np.append(edges, len(order))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [[packed[i] for i in order[a:b]] for a, b in zip(edges[:-1], edges[1:])]
-        lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x.take(pa.array(order))) for x in (names, tags)]
-        return pa.table({"shard": pa.array(found, pa.int32()), "ids": lists[0], "rows": lists[1], "counts": pa.array([np.array([len(x) // 4 for x in p], "<u4").tobytes() for p in parts], pa.binary()), "starts": pa.array([pack(b"".join(p)) for p in parts], pa.binary())})
-
-    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        names, tags = _flat(table, "ids"), _flat(table, "rows")
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
-        starts = np.concatenate([np.frombuffer(unpack(x), "<u4") for x in table.column("starts").to_pylist()])
-        place = _dense_order(names, tags)
-        _, first = np.unique(place, return_index=True)
-        _, packed = _by_doc(np.repeat(place, counts), starts)
-        return pa.table({"id": names.take(pa.array(first)), "row": tags.take(pa.array(first)), "starts": pa.array(packed, pa.binary())})
+        paths = np.frombuffer(b"".join(table.column("paths").to_pylist()), f"S{4 * span + 8}")
+        repeat, _ = deep_nodes(paths, place[doc[fresh]], start[fresh], span)
+        found = np.concatenate([np.flatnonzero(known), fresh[repeat]])
+        found = found[np.lexsort((start[found], doc[found]))]
+        which, first = np.unique(doc[found], return_index=True)
+        packed = start[found].astype("<u4")
+        take = pa.array(which, pa.int64())
+        return pa.table({"id": names.take(take), "row": tags.take(take), "starts": pa.array([packed[a:b].tobytes() for a, b in itertools.pairwise([*first.tolist(), len(found)])], pa.binary())})
 
-    sent_on = docs.select("id", "row", "text").mapInArrow(suffixes, schema)
-    ids, rows = (T.StructField("ids", T.ArrayType(id_type)), T.StructField("rows", T.ArrayType(T.LongType())))
-    answers = sent_on.groupBy("group").applyInArrow(subtree, T.StructType([T.StructField("shard", T.IntegerType()), ids, rows, T.StructField("counts", T.BinaryType()), T.StructField("starts", T.BinaryType())]))
-    return answers.groupBy("shard").applyInArrow(gather, T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("starts", T.BinaryType())]))
+    answer = T.StructType([id_field, T.StructField("row", T.LongType()), T.StructField("starts", T.BinaryType())])
+    found = each_batch(runs, send, schema).groupBy("group").applyInArrow(subtree, answer)
+    return found.groupBy("id", "row").agg(F.collect_list("starts").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP) -> DataFrame:
-    """The columns of docs, and n_words, n_removed, kept (the words that stay, joined by a space), spans.
+    """The columns of docs as they are, and n_words, n_removed, kept (the words that stay, joined by a space), spans,
+    whose names get an underscore where docs has such a column (see free_names).
 
     A word goes if a window of `span` words covers it whose words also start earlier: in a document with a smaller
-    id, or earlier in the same one. spans are the maximal runs of words that went, [start, end). Null text has no words
-    and kept is empty. Null ids come before all others. Rows that share id and text are the same document and all
-    get its result; rows that share the id alone come in the order of a hash of their texts. An empty table gives no
-    row. Words are compared as they are. Columns of docs that have one of the four added names are replaced.
+    id, or earlier in the same one. spans are the maximal runs of words that went, [start, end); two repeats side by
+    side make one run. Null text has no words and kept is empty. Null ids come before all others. Rows that share id
+    and text are the same document and all get its result; rows that share the id alone come in the order of a hash of
+    their texts. An empty table gives no row. Words are compared as they are.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*({"n_words", "n_removed", "kept", "spans"} - {id_col, text_col}))
     named = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("row"), "text")
-    starts, _ = stage(repeated_starts(named, span, group), "repeats")
-    release(spark)
-    per_doc = starts.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("starts").alias("__starts"))
-    both = docs.withColumn("__text_row", F.xxhash64(docs[f"`{text_col}`"])).join(per_doc, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__text_row") == F.col("__row")), "left")
-    both = both.select(*[docs[f"`{c}`"] for c in docs.columns], "__starts")
-    schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    place, own = docs.columns.index(text_col), len(docs.columns)
+    with own_shuffles(spark):
+        starts, _ = stage(repeated_starts(named, span, group), "repeats")
+    names = free_names(docs.columns, (*ADDED, "__text", "__id", "__row", "__starts"))
+    text, own_id = (docs[quoted([c])[0]] for c in (text_col, id_col))
+    per_doc = starts.select(*(F.col(c).alias(names[f"__{c}"]) for c in ("id", "row", "starts")))
+    both = docs.join(per_doc, own_id.eqNullSafe(per_doc[names["__id"]]) & (F.xxhash64(text) == per_doc[names["__row"]]), "left")
+    both = both.select(text.alias(names["__text"]), per_doc[names["__starts"]], *(docs[c] for c in quoted(docs.columns)))
+    span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    schema = T.StructType([*docs.schema, *(T.StructField(names[a], t) for a, t in zip(ADDED, (T.LongType(), T.LongType(), T.StringType(), span_type)))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, column=place):
+        for batch in text_slices(batches, column=0):
             counts, gone, kept, spans = [], [], [], []
-            for text, packed in zip(as_bytes(batch.column(place)), batch.column(own).to_pylist()):
+            for text, packed in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 words = text.split() if text else []
-                removed = np.zeros(len(words) + 1, np.int32)
-                if packed:
-                    at = np.frombuffer(packed, "<u4").astype(np.int64)
-                    np.add.at(removed, at, 1)
-                    np.add.at(removed, at + span, -1)
-                removed = np.cumsum(removed[: len(words)]) > 0
-                change = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])))
                 counts.append(len(words))
+                if not packed:
+                    gone.append(0)
+                    kept.append(b" ".join(words).decode())
+                    spans.append([])
+                    continue
+                at = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+                change = np.bincount(at, minlength=len(words) + 1)[: len(words) + 1] - np.bincount(at + span, minlength=len(words) + 1)[: len(words) + 1]
+                removed = np.cumsum(change)[: len(words)] > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])))
                 gone.append(int(removed.sum()))
-                kept.append(b" ".join(w for w, r in zip(words, removed.tolist()) if not r).decode() if gone[-1] else b" ".join(words).decode())
-                spans.append([{"start": a, "end": b} for a, b in change.reshape(-1, 2).tolist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[f.name for f in schema])
+                kept.append(b" ".join(itertools.compress(words, (~removed).tolist())).decode())
+                spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[f.name for f in schema])
 
-    return both.mapInArrow(apply, schema)
+    return each_batch(both, apply, schema)

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import duckdb
@@ -29,18 +31,68 @@ def test_mixtures(spark):
     rows = [(i, text("abcde", 50), "x") for i in range(20)] + [(i, text("lmnop", 50), "y") for i in range(20)] + [(9, "ignored", None), (9, None, "x")]
     model = langid.train(frame(spark, rows))
     assert model.names == ["x", "y"]
-    asked = [(1, text("abcde", 40), None), (2, text("abcde", 30) + " " + text("lmnop", 10), None), (None, None, None), (4, "", None), (5, "12 ... !", None), (6, "é", None), (6, "é", None), (7, text("lmnop", 30_000), "x")]
+    asked = [(1, text("abcde", 40), None), (2, text("abcde", 30) + " " + text("lmnop", 10), None), (None, None, None), (4, "", None), (5, "12 ... ! ½ ² ① Ⅷ", None), (6, "é", None), (6, "é", None), (7, text("lmnop", 30_000), "x")]
     got = langid.predict(frame(spark, asked), model).collect()
     assert [r["lang_pred"] for r in got if r["doc_id"] in (1, 7)] == ["x", "y"] and len(got) == len(asked)
     mixed = next(r for r in got if r["doc_id"] == 2)
-    assert {s["lang"] for s in mixed["languages"]} == {"x", "y"} and mixed["score"] == pytest.approx(0.75, abs=0.03)
-    assert next(r for r in got if r["doc_id"] == 1)["score"] == 1
-    assert [(r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (None, 4, 5)] == [("und", 0.0)] * 3
+    assert {s["lang"] for s in mixed["languages"]} == {"x", "y"} and mixed["score_"] == pytest.approx(0.75, abs=0.03)
+    assert next(r for r in got if r["doc_id"] == 1)["score_"] == 1
+    assert [(r["lang_pred"], r["score_"]) for r in got if r["doc_id"] in (None, 4, 5)] == [("und", 0.0)] * 3
     none = langid.train(frame(spark, []))
     assert {r["lang_pred"] for r in langid.predict(frame(spark, asked), none).collect()} == {"und"}
     assert langid.predict(frame(spark, []), model).collect() == []
 
 
+def brute_mixture(model, words, rounds):
+    """Expectation-maximisation word by word, for the set of languages that has the best penalised likelihood."""
+    logs = [model.words([w])[0].astype(float) for w in words]
+
+    def fit(shares, n):
+        for _ in range(n):
+            total = dict.fromkeys(shares, 0.0)
+            for x in logs:
+                part = {k: s * math.exp(x[k] - max(x)) for k, s in shares.items()}
+                for k, v in part.items():
+                    total[k] += v / sum(part.values())
+            shares = {k: v / len(logs) for k, v in total.items()}
+        return shares, sum(max(x) + math.log(sum(s * math.exp(x[k] - max(x)) for k, s in shares.items())) for x in logs)
+
+    shares, _ = fit({k: 1 / len(model.names) for k in range(len(model.names))}, rounds)
+    order = sorted(shares, key=lambda k: -shares[k])
+    best = None
+    for n in range(1, len(order) + 1):
+        start = {k: max(shares[k], 1e-3) for k in order[:n]}
+        found, value = fit({k: v / sum(start.values()) for k, v in start.items()}, 0 if n == 1 else rounds // 2)
+        value -= 0.5 * n * math.log(len(words) + 1)
+        if best is None or value > best[0]:
+            best = (value, found)
+    return {model.names[k]: v for k, v in best[1].items()}
+
+
+def test_mixtures_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.where("doc_id % 2 = 0"))
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").limit(60).collect()}
+    mixed = {10_000 + i: " ".join(a.split()[:40] + b.split()[:25]) for i, (a, b) in enumerate(itertools.pairwise(texts.values()))}
+    asked = {i: t for i, t in (texts | mixed).items() if any(c.isalpha() for c in t)}
+    for r in langid.predict(spark.createDataFrame(list(asked.items()), "doc_id long, text string"), model).collect():
+        words = "".join(c if c.isalpha() else " " for c in r["text"].lower()).split()
+        want = brute_mixture(model, [w.encode() for w in words[:20_000]], langid.ROUNDS)
+        if len(words) <= 20_000:
+            assert {s["lang"]: s["share"] for s in r["languages"] if s["share"] > 1e-4} == {k: pytest.approx(v, abs=2e-3) for k, v in want.items() if v > 1e-4}
+
+
+def test_long_texts_and_user_columns(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(1, docs.where("lang = 'de'").first()["text"] * 3, "Ab", [1])]
+    df = spark.createDataFrame(rows, "doc_id long, score string, LANG_pred string, languages array<int>")
+    whole = langid.predict(df, model, text_col="score").first()
+    assert whole["LANG_pred"] == "Ab" and whole["languages"] == [1] and whole["lang_pred_"] == "de" and whole["score"] == rows[0][1]
+    monkeypatch.setattr(langid, "MANY", 10)
+    assert langid.predict(df, model, text_col="score").first()["score_"] == pytest.approx(whole["score_"], abs=1e-6)
+
+
 def test_more_than_three_languages(spark):
     rng = random.Random(6)
     letters = {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop", "e": "qrst"}
