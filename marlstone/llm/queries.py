@@ -68,9 +68,9 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(parts=5, part=1))
-    found = ppm.score(docs, docs.where("NOT held_out"), class_col="lang")
-    return found.select("doc_id", langid.held_out(parts=5, part=1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = langid.held_out(parts=5, part=1)
+    found = ppm.score(_table(spark, sf_dir, "documents"), ~held_out, class_col="lang")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

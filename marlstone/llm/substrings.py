@@ -63,10 +63,12 @@ def repeated_anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], names=[f.name for f in schema])
 
     anchors, path = stage(each_batch(docs.select("id", "row", "text"), run, schema), "anchors")
-    repeated = anchors.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    # As a table of its own, so that an anchor of very many documents can be joined by several tasks.
+    repeated, repeated_path = stage(anchors.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeated")
     places = anchors.select("id", "row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("id", "row", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     hits, _ = stage(places.join(repeated, "key", "left_semi").groupBy("id", "row").agg(F.collect_set("place").alias("hits")), "hits")
-    drop_stage(docs.sparkSession, path)
+    for done in (path, repeated_path):
+        drop_stage(docs.sparkSession, done)
     return hits
 
 

@@ -10,18 +10,19 @@ from marlstone.llm import ppm
 DOCS = "doc_id long, text string, word string, n string"
 
 
-def brute_counts(words, ends):
+def brute_stream(words):
+    return b"     " + b"".join(w + b" " for w in words) + b"\n"
+
+
+def brute_counts(texts):
+    """Contexts of up to five bytes, across words, over texts that are lists of words."""
     tree = {}
-    for w, n in words.items():
-        line = b" " + w + b" "
-        for i in range(1, len(line)):
-            for k in range(min(i, ppm.ORDER) + 1):
+    for words in texts:
+        line = brute_stream(words)
+        for i in range(5, len(line)):
+            for k in range(ppm.ORDER + 1):
                 node = tree.setdefault(line[i - k : i], {})
-                node[line[i]] = node.get(line[i], 0) + n
-    if ends:
-        for context in (b"", b" "):
-            node = tree.setdefault(context, {})
-            node[ppm.END] = node.get(ppm.END, 0) + ends
+                node[line[i]] = node.get(line[i], 0) + 1
     return tree
 
 
@@ -32,10 +33,10 @@ def brute_symbol(tree, context, symbol):
         if node:
             left = {s: n for s, n in node.items() if s not in excluded}
             if left:
-                size = sum(left.values()) + len(left)
+                size = sum(left.values())
                 if symbol in left:
-                    return p * left[symbol] / size
-                p *= len(left) / size
+                    return p * (left[symbol] - 0.5) / size
+                p *= 0.5 * len(left) / size
             excluded |= set(node)
         if not context:
             return p / (256 - len(excluded))
@@ -43,27 +44,40 @@ def brute_symbol(tree, context, symbol):
 
 
 def brute_text(tree, words):
-    total = 0.0
-    for w in words:
-        line = b" " + w + b" "
-        for i in range(1, len(line)):
-            total += math.log10(brute_symbol(tree, line[max(0, i - ppm.ORDER) : i], line[i]))
-    return total + math.log10(brute_symbol(tree, b" ", ppm.END))
+    line = brute_stream(words)
+    return sum(math.log10(brute_symbol(tree, line[i - ppm.ORDER : i], line[i])) for i in range(5, len(line)))
+
+
+def split(text):
+    return (text or "").encode().lower().split()
+
+
+def test_streams():
+    keys, n = ppm.streams([b"Ab  c", None, b"", b"x"])
+    want = [line[i - 5 : i + 1] for line in (b"     ab c \n", b"     \n", b"     \n", b"     x \n") for i in range(5, len(line))]
+    assert n.tolist() == [6, 1, 1, 3] and [int(k).to_bytes(6, "big") for k in keys] == want
 
 
 def test_trie_against_brute_force():
     rng = random.Random(3)
-    words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 8))): rng.randint(1, 9) for _ in range(60)} | {"é".encode(): 2}
-    tree = brute_counts(words, 7)
-    keys, counts = ppm.count_contexts(list(words), np.array(list(words.values())))
-    keys = np.concatenate([keys, np.array([c << 8 | ppm.END for c in (0, 1 << 48 | 32)], np.uint64)])
-    trie = ppm.Trie(*ppm.merged(keys, np.append(counts, [7, 7])))
-    for w in [*words, b"abcabcabcabc", b"zzz", b"aZb", b"x"]:
-        assert trie.words([w])[0] + trie.end() == pytest.approx(brute_text(tree, [w]))
-    for context in (b"", b" ", b" a", b"abcab", b"zzzzz", b"bz"):
-        order = len(context)
-        key = np.full(256, order << 48 | int.from_bytes(context, "big"), np.uint64)
-        assert (10.0 ** trie.symbols(key, np.arange(256))).sum() == pytest.approx(1)
+    texts = [[bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 9))] for _ in range(30)] + [["é".encode()]]
+    tree = brute_counts(texts)
+    keys, _ = ppm.streams([b" ".join(t) for t in texts])
+    own = ppm.merged(keys, np.ones(len(keys), np.int64))
+    trie = ppm.Trie(*ppm.merged(*(np.concatenate(x) for x in zip(*(ppm.shortened(*own, k) for k in range(6))))))
+    for context in (b"     ", b"ab ca", b"zzzzz", b"  bbz", b"abcab", b"ab  c"):
+        key = np.full(256, 5 << 48 | int.from_bytes(context, "big"), np.uint64)
+        found = 10.0 ** trie.symbols(key, np.arange(256))
+        assert found.sum() == pytest.approx(1)
+        assert found.tolist() == [pytest.approx(brute_symbol(tree, context, s)) for s in range(256)]
+
+
+def test_known_keys():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    known = ppm.Known(keys)
+    assert (known.find(keys) == np.arange(len(keys))).all() and (known.find(keys + np.uint64(1 << 50)) == len(keys)).all()
+    assert ppm.Known(keys[:0]).find(keys[:3]).tolist() == [0, 0, 0]
 
 
 @pytest.mark.parametrize("frequent", [0, 5, 1 << 18])
@@ -76,19 +90,19 @@ def test_documents(spark, frequent):
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)
     from marlstone.llm.langid import held_out
 
-    train = df.where(~held_out(parts=5, part=1))
-    got = ppm.score(df, train, frequent=frequent).collect()
+    learned = ~held_out(parts=5, part=1)
+    got = ppm.score(df, learned if frequent else df.where(learned), frequent=frequent).collect()
     words, ends = {}, 0
     for i, t in rows:
         if not held(i):
             ends += 1
-            for w in (t or "").encode().lower().split():
+            for w in split(t):
                 words[w] = words.get(w, 0) + 1
     n, v = sum(words.values()) + ends, len(words) + 1
-    tree = brute_counts(words, ends)
+    tree = brute_counts([split(t) for i, t in rows if not held(i)])
     want = []
     for i, t in rows:
-        tokens = (t or "").encode().lower().split()
+        tokens = split(t)
         counts = [words.get(w, 0) for w in tokens] + [ends]
         base = sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in counts)
         want.append((-1 if i is None else i, len(counts), sum(c > 0 for c in counts), n, round(base, 6), round(brute_text(tree, tokens), 6)))
@@ -100,13 +114,7 @@ def test_mixture_of_classes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     texts = [(9, "ab zz"), (10, "ab ab"), (11, "")]
     got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(texts, "doc_id long, text string"), df, class_col="lang").collect()}
-    trees = []
-    for c, share in (("x", 2), ("y", 1), (None, 1)):
-        words = {}
-        for _, t, k in rows:
-            for w in t.encode().split() if k == c else ():
-                words[w] = words.get(w, 0) + 1
-        trees.append((brute_counts(words, share), share / 4))
+    trees = [(brute_counts([split(t) for _, t, k in rows if k == c]), share / 4) for c, share in (("x", 2), ("y", 1), (None, 1))]
     for i, t in texts:
         assert got[i] == pytest.approx(math.log10(sum(share * 10 ** brute_text(tree, t.encode().split()) for tree, share in trees)))
 
@@ -125,13 +133,14 @@ def test_no_context_is_left_out(spark):
     rows = [(i, " ".join(rng.choice(pool) for _ in range(30))) for i in range(20)] + [(20, "once only abcdefgh"), (21, "onceonly " * 9 + "y" * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = df.where("doc_id % 3 <> 1")
-    words, ends = {}, 0
-    for i, t in rows:
-        if i % 3 != 1:
-            ends += 1
-            for w in t.encode().split():
-                words[w] = words.get(w, 0) + 1
-    tree = brute_counts(words, ends)
-    want = {i: pytest.approx(brute_text(tree, t.encode().split())) for i, t in rows}
-    for entries in (0, 25):
-        assert {r["doc_id"]: r["score"] for r in ppm.score(df, train, entries=entries, frequent=10).collect()} == want
+    tree = brute_counts([split(t) for i, t in rows if i % 3 != 1])
+    want = {i: pytest.approx(brute_text(tree, split(t))) for i, t in rows}
+    for entries, group in ((0, 1 << 20), (25, 40), (1 << 20, 3)):
+        assert {r["doc_id"]: r["score"] for r in ppm.score(df, train, entries=entries, frequent=10, group=group).collect()} == want
+
+
+def test_order_of_words_counts(spark):
+    rows = [(i, "the quick brown fox jumps") for i in range(9)]
+    asked = [(100, "the quick brown fox jumps"), (101, "jumps fox the brown quick")]
+    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(asked, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] > got[101] + 3
