@@ -271,3 +271,42 @@ def winnow(h: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         best = np.where(lower, other, best)
         at = np.where(lower, np.arange(n) + j, at)
     return best, at
+
+
+#: Bits of a filter of keys; its size does not depend on the data.
+FILTER_BITS = 1 << 23
+
+
+def filter_slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each key in a filter."""
+    keys = mix(keys.view(np.uint64))
+    return (keys % np.uint64(bits)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A filter of bits / 8 bytes over the first column of keys; see may_hold."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits, bool)
+        for batch in batches:
+            for slot in filter_slots(batch.column(0).to_numpy(), bits):
+                held[slot] = True
+        packed = np.packbits(held).view(np.int64)
+        full = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packed[full])], names=["place", "bits"])
+
+    table = gathered(each_batch(keys, fill, "place long, bits long").groupBy("place").agg(F.expr("bit_or(bits)").alias("bits")))  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[table.column("place").to_numpy()] = table.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in a filter, whose bits are `table`: true for all that are, and for few others."""
+    first, second = filter_slots(keys, len(table))
+    return table[first] & table[second]
+
+
+def filter_bits(raw: bytes) -> np.ndarray:
+    """The bits of a filter."""
+    return np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)

@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing.
 
-A span is fingerprinted by the least hash among the k-grams of each of its windows (k-gram and window together span
-`span` words), so that two texts that share `span` consecutive words share the fingerprint of that window. Documents
-and items are joined on fingerprints, and every hit is extended to the windows that chose it, whose words are compared.
+Of each window of `span` words the least hash among its k-grams is selected; consecutive windows mostly select the same
+one, and it is kept once, with its place. Two texts that share `span` consecutive words select the same k-gram there.
+Selected fingerprints of documents and items are joined, and every hit is extended to both sides, to all windows that
+hold the k-gram, whose words are compared with those of the items' windows.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import as_bytes, each_batch, gram_hashes, mix, pick, stage, text_slices, winnow, word_hashes
+from marlstone.llm.common import FILTER_BITS, as_bytes, each_batch, filter_bits, gram_hashes, key_filter, may_hold, mix, pick, ranges, split_words, stage, text_slices, winnow, word_hashes
 
 #: ASCII bytes other than digits and letters end a word; capital letters count as small ones.
 _TABLE = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SPAN, GRAM = 10, 8
-#: Bits of the filter that tells which fingerprints the items may have; its size does not depend on the data.
-FILTER_BITS = 1 << 23
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -34,10 +33,6 @@ def _short_key(h: np.ndarray, n: int) -> np.ndarray:
     return mix(gram_hashes(h, n) + np.uint64(n))
 
 
-def _filter_slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (keys % np.uint64(bits)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
-
-
 def item_windows(items: DataFrame, item_col: str, text_col: str, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """One row per window of an item: item, key (its fingerprint), window (its words, space-joined), size (in words)."""
     source = pick(items, item=item_col, text=text_col)
@@ -60,29 +55,10 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, span: int = SPA
                     sizes.append(size)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], names=[f.name for f in schema])
 
-    return source.mapInArrow(windows, schema)
-
-
-def _key_filter(windows: DataFrame, span: int, bits: int) -> tuple[np.ndarray, list[int]]:
-    """A filter of fixed size over the keys of all windows, and the sizes below `span` that occur (fewer than span)."""
+    return each_batch(source, windows, schema)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, bool)
-        for batch in batches:
-            for slot in _filter_slots(batch.column(0).to_numpy().view(np.uint64), bits):
-                held[slot] = True
-        full = np.flatnonzero(np.packbits(held).view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.packbits(held).view(np.int64)[full])], names=["place", "bits"])
 
-    parts = windows.select("key").mapInArrow(fill, "place long, bits long").groupBy("place").agg(F.expr("bit_or(bits)").alias("bits"))
-    out = np.zeros(bits // 64, np.int64)
-    for row in parts.toLocalIterator():  # bits / 64 rows at most
-        out[row["place"]] = row["bits"]
-    sizes = [r["size"] for r in windows.where(F.col("size") < span).select("size").distinct().collect()]
-    return np.unpackbits(out.view(np.uint8)).astype(bool), sorted(sizes)
-
-
-def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = GRAM, filter_size: int = FILTER_BITS) -> DataFrame:
     """Which words of which documents lie in windows of benchmark items.
 
     Returns doc_id, row (a hash of the text), n_words, n_hit (words in any occurrence of a window), n_items (items with occurring windows),
@@ -93,38 +69,59 @@ def contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     windows = item_windows(items, item_col, item_text_col, span, k).distinct()
-    held, short = _key_filter(windows, span, filter_bits)
-    sent = spark.sparkContext.broadcast(np.packbits(held).tobytes())  # filter_bits / 8 bytes
+    short = sorted(r["size"] for r in windows.where(F.col("size") < span).select("size").distinct().collect())  # fewer than span
+    sent = spark.sparkContext.broadcast(key_filter(windows.select("key"), filter_size))
     source = pick(docs, doc_id=doc_col, text=text_col).select("doc_id", "text", F.xxhash64("text").alias("row"))
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("row", T.LongType()), ("n_words", T.LongType()), ("key", T.LongType()), ("window", T.StringType()), ("start", T.IntegerType())))])
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, t) for n, t in (("row", T.LongType()), ("n_words", T.LongType()), ("key", T.LongType()), ("around", T.ArrayType(T.StringType())), ("size", T.IntegerType()), ("start", T.IntegerType())))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-
-        def possible(keys: np.ndarray) -> np.ndarray:
-            first, second = _filter_slots(keys, filter_bits)
-            return np.flatnonzero(table[first] & table[second])
-
+        table = filter_bits(sent.value)
         for batch in text_slices(batches):
-            rows, counts, keys, texts, starts = [], [], [], [], []
-            for row, text in enumerate(as_bytes(batch.column(1))):
-                words = normal_words(text)
-                h = word_hashes(words)
-                hits = []
-                for n in (span, *short):
-                    found = winnow(h, span, k)[0] if n == span else _short_key(h, n)
-                    at = possible(found)
-                    hits += [(key, i, n) for i, key in zip(at.tolist(), found[at].view(np.int64).tolist())]
-                # One row for the document itself, with a key of its own and a window that no item has.
-                for key, start, n in [(int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else row, -1, 0), *hits]:
-                    rows.append(row)
-                    counts.append(len(words))
-                    keys.append(key)
-                    texts.append(b" ".join(words[start : start + n]).decode() if n else "")
-                    starts.append(start)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 2)), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(starts, pa.int32())], names=[f.name for f in schema])
-
-    found = source.mapInArrow(scan, schema)
+            rows, counts, keys, around, sizes, starts = [], [], [], [], [], []
+            texts = as_bytes(batch.column(1))
+            split = pa.array([t.translate(_TABLE) if t else b"" for t in texts], pa.binary()).cast(pa.string())
+            codes, edges, distinct = split_words(split)
+            h = word_hashes(distinct)[codes]
+            n = np.diff(edges)
+            windows = ranges(edges[:-1], np.maximum(n - span + 1, 0))
+            # The selected k-grams, each once; then runs as long as an item that is shorter than a window.
+            found = []
+            if len(windows):
+                at = np.unique(winnow(h, span, k)[1][windows])
+                found.append((at, gram_hashes(h, k)[at], span))
+            for size in short:
+                at = ranges(edges[:-1], np.maximum(n - size + 1, 0))
+                found.append((at, _short_key(h, size)[at], size) if len(at) else (at, at.astype(np.uint64), size))
+            for at, key, size in found:
+                some = may_hold(table, key)
+                doc = np.searchsorted(edges, at[some], side="right") - 1
+                more = span - k if size == span else 0
+                for d, i, x in zip(doc.tolist(), at[some].tolist(), key[some].view(np.int64).tolist()):
+                    a, b = max(int(edges[d]), i - more), min(int(edges[d + 1]), i + (span if size == span else size))
+                    rows.append(d)
+                    keys.append(x)
+                    around.append([distinct[c].decode() for c in codes[a:b].tolist()])
+                    sizes.append(size)
+                    starts.append(a - int(edges[d]))
+            # One row for the document itself, with a key of its own and no word.
+            own = h[np.minimum(edges[:-1], max(0, len(h) - 1))].view(np.int64) if len(h) else np.arange(len(n))
+            whole = len(n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).take(pa.array([*range(whole), *rows], pa.int64())) for i in (0, 2)), pa.array([*n.tolist(), *n[rows].tolist()], pa.int64()), pa.array([*own.tolist(), *keys], pa.int64()),
+                    pa.array([[]] * whole + around, pa.list_(pa.string())), pa.array([0] * whole + sizes, pa.int32()), pa.array([-1] * whole + starts, pa.int32()),
+                ],
+                names=[f.name for f in schema],
+            )
+
+    # Fingerprints meet; what did not meet an item's is gone but for the documents' own rows.
+    met = each_batch(source, scan, schema).join(windows.select("key", F.lit(True).alias("met")).distinct(), "key", "left").where("met OR start < 0")
+    # A hit is extended to all windows around it.
+    places = F.sequence(F.lit(0), F.greatest(F.size("around") - F.col("size"), F.lit(0)))
+    extended = met.select("doc_id", "row", "n_words", "key", F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(places).alias("places"), "around", "size", "start")
+    extended = extended.select("doc_id", "row", "n_words", "key", "around", "size", F.col("start").alias("first"), F.explode("places").alias("place"))
+    text = F.array_join(F.slice("around", F.col("place") + 1, F.greatest("size", F.lit(1))), " ")
+    found = extended.where("first < 0 OR size <= size(around)").select("doc_id", "row", "n_words", "key", text.alias("window"), F.when(F.col("first") < 0, -1).otherwise(F.col("first") + F.col("place")).alias("start"))
     # Windows of the same set of items share a set number, so that a document carries sets and not repeated lists.
     numbered = windows.groupBy("key", "window", "size").agg(F.struct(F.count(F.lit(1)).alias("n"), *(F.sum((F.xxhash64("item", F.lit(seed)) % (1 << 40))).alias(f"h{seed}") for seed in (1, 2, 3))).alias("set"))
     members = windows.join(numbered, ["key", "window", "size"]).select("set", "item").distinct()

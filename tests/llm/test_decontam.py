@@ -44,10 +44,10 @@ def test_equal_windows_share_the_fingerprint():
     for _ in range(50):
         shared = [str(rng.randrange(40)).encode() for _ in range(10)]
         a, b = ([str(rng.randrange(40)).encode() for _ in range(rng.randrange(9))] for _ in range(2))
-        x = decontam.winnow(word_hashes(a + shared + b))[0]
-        y = decontam.winnow(word_hashes(b + shared + a))[0]
+        x = decontam.winnow(word_hashes(a + shared + b), 10, 8)[0]
+        y = decontam.winnow(word_hashes(b + shared + a), 10, 8)[0]
         assert x[len(a)] == y[len(b)]
-    assert not len(decontam.winnow(np.zeros(9, np.uint64))[0])
+    assert not len(decontam.winnow(np.zeros(9, np.uint64), 10, 8)[0])
 
 
 @pytest.mark.parametrize("bits", [64, 1 << 20])
@@ -65,7 +65,7 @@ def test_against_brute_force(spark, bits):
             parts += [" ".join(w[a : a + rng.choice((9, 10, 12, 30))]).upper().replace(" ", rng.choice((" ", "-", ", "))), line(rng.randrange(6))]
         docs.append((i, " ".join(parts)))
     docs += [(None, "a SHORT-one here, tiny"), (70, None), (71, ""), (72, "tinytiny tiny"), (73, items_text + " " + items_text), (74, " ".join([items_text] * 300))]
-    got = decontam.contamination(spark.createDataFrame([(i, t, "", "", 1) for i, t in docs], DOCS), spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS), filter_bits=bits)
+    got = decontam.contamination(spark.createDataFrame([(i, t, "", "", 1) for i, t in docs], DOCS), spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS), filter_size=bits)
     found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"])) for r in got.collect())
     assert found == brute(docs, items)
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in got.collect())
