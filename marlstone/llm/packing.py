@@ -218,7 +218,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         encode = coder(tokenizer, end_id).encode
         context = TaskContext.get()
         part, seen = context.partitionId() if context else 0, np.zeros(size + 1, np.int64)
-        for batch in text_slices(batches, most=2_000_000):
+        for batch in text_slices(batches, most=6_000_000):
             ids, edges = encode(batch.column(1))
             raw = memoryview(np.ascontiguousarray(ids).view(np.uint8))
             rows, pieces, starts, lengths, crc, nth = [], [], [], [], [], []

@@ -86,7 +86,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             docs_in, sizes, held, count = [], [], [], 0
             return row
 
-        for batch in text_slices(batches, most=2_000_000):
+        for batch in text_slices(batches, most=6_000_000):
             ids, edges = encode(batch.column(1))
             docs_in.append(batch.column(0))
             sizes.append(np.diff(edges))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -86,12 +87,11 @@ class WordTokenizer:
 
     def __init__(self, path: str, known: int = 200_000, end_id: int | None = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
         self.words, self.pieces = _Ids(known), _Ids(2 * known)
-        self.pieces.look_up(["\n"], self._pieces)
         with open(path, encoding="utf-8") as file:
             rule = json.load(file)
         steps = [x.get("type") for x in ((rule.get("normalizer") or {}).get("normalizers") or [])]
@@ -99,6 +99,17 @@ class WordTokenizer:
         self.cuts = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == PATTERN and split.get("behavior") == "Removed"
         # Words that hold an added token are for the library alone.
         self.added = [t["content"] for t in rule.get("added_tokens") or []]
+        suffix = rule.get("model", {}).get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.cuts = self.cuts and bool(suffix)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.cuts:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            # The same model, for pieces that are normal and cut already.
+            self.cut_tokenizer = Tokenizer.from_file(path)
+            self.cut_tokenizer.normalizer = normalizers.Sequence([])
+            self.cut_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pieces.look_up(["\n"], self._pieces)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids by the library."""
@@ -108,14 +119,16 @@ class WordTokenizer:
         return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain pieces by the library, many in one call; the end of a line has none."""
-        flat, lengths = [], []
-        for a in range(0, len(pieces), 256):
-            part = pieces[a : a + 256]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(found.ids, np.uint32))
-            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
-        return np.concatenate(flat), np.concatenate(lengths)
+        """Ids of plain pieces by the library, many in one call; the end of a line has none. The last id of a piece
+        stands for the end of a word, which tells them apart."""
+        real = np.array([p != "\n" for p in pieces], bool)
+        some = [p for p in pieces if p != "\n"]
+        found = [self.cut_tokenizer.encode(" ".join(some[a : a + 128]), add_special_tokens=False).ids for a in range(0, len(some), 128)]
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        ends = np.flatnonzero(self.last[flat]) + 1
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[real] = np.diff(ends, prepend=0)
+        return flat, lengths
 
     def _plain(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of plain characters, each with the end of its line."""
