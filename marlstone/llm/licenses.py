@@ -92,7 +92,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     best = F.min(F.struct((-F.col("score")).alias("low"), (F.col("kind") != "file").alias("line"), "license", "kind"))
     own = segments.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.low")).alias("score"), F.col("b.kind").alias("kind"))
     directory = lambda path: F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-    named = own.where((F.col("kind") == "file") | F.col("path").rlike(FILE_NAMES)).where(F.col("path") != "\0").withColumn("dir", directory("path"))
+    # Any whole text that matches covers its directory, whether or not one of its lines matches better.
+    whole = segments.where((F.col("kind") == "file") & ~F.col("path").rlike(FILE_NAMES)).select("path", "license", "score")
+    named = whole.union(own.where(F.col("path").rlike(FILE_NAMES)).select("path", "license", "score")).where(F.col("path") != "\0").withColumn("dir", directory("path"))
     covered = named.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("b")).select(F.col("dir").alias("origin"), F.col("b.license").alias("d_license"), (-F.col("b.low")).alias("d_score"))
     paths = source.select("path").distinct().withColumn("dir", directory("path"))
     parts = F.split("dir", "/")

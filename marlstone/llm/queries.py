@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, langid, licenses, media, packing, ppm, quality, simhash, substrings, tokenfile
-from marlstone.llm.common import shared_dir
+from marlstone.llm.common import delete_at_end, shared_dir
 
 
 def _vocabulary(name: str) -> str:
@@ -43,9 +43,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
-    found = licenses.scan(docs)
-    return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "license", "score", "method", "origin")
+    """Documents lie in the directory of their source under their id as text; a null source or id is the word null."""
+    docs = _table(spark, sf_dir, "documents")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    docs = docs.select("doc_id", "text", F.concat_ws("/", part("source"), part("doc_id")).alias("path"))
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return licenses.scan(docs).select(F.when(name != "null", name.cast(docs.schema["doc_id"].dataType)).alias("doc_id"), "license", "score", "method", "origin")
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +63,17 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.transport_streams(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    found = media.transport_streams(_table(spark, sf_dir, "documents"), path)
+    delete_at_end(spark, path)
+    return found
 
 
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_planes(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", _vocabulary(WORD_BPE))
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    found = tokenfile.token_planes(_table(spark, sf_dir, "documents"), path, _vocabulary(WORD_BPE))
+    delete_at_end(spark, path)
+    return found
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ WITH templates AS (SELECT * FROM (VALUES {", ".join("({}, '{}', '{}')".format(i,
 tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(seg, '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
 idf AS (SELECT term, ln({1.0 + len(licenses.TEMPLATES)} / (count(*) + 1)) + 1 AS idf FROM tt GROUP BY term),
 tw AS (SELECT term, license, template, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
-low AS (SELECT concat_ws('/', source, doc_id) AS path, lower(text) AS low FROM documents WHERE {" OR ".join(f"contains(lower(text), '{c}')" for c in licenses.CUES)}),
+low AS (SELECT coalesce(source, 'null') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'null') AS path, lower(text) AS low FROM documents WHERE {" OR ".join(f"contains(lower(text), '{c}')" for c in licenses.CUES)}),
 segs AS (
   SELECT DISTINCT path, 'header' AS kind, seg FROM (SELECT path, unnest(string_split(low, chr(10))) AS seg FROM low) WHERE {" OR ".join(f"contains(seg, '{c}')" for c in licenses.CUES)}
   UNION ALL SELECT path, 'file', low FROM low),
@@ -123,11 +132,11 @@ norms AS (SELECT path, kind, seg, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dots AS (SELECT path, kind, seg, license, template, sum(w * weight) AS dot FROM w JOIN tw USING (term) GROUP BY ALL),
 scored AS (SELECT path, kind, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, kind, seg)),
 own AS (SELECT path, license, score, kind FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, kind, license) AS nth FROM scored WHERE score >= {licenses.LEAST}) WHERE nth = 1),
-covered AS (SELECT source, license, score FROM (SELECT string_split(path, '/')[1] AS source, license, score, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY score DESC, license) AS nth FROM own WHERE kind = 'file') WHERE nth = 1)
+covered AS (SELECT source, license, score FROM (SELECT string_split(path, '/')[1] AS source, license, score, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY score DESC, license) AS nth FROM scored WHERE kind = 'file' AND score >= {licenses.LEAST}) WHERE nth = 1)
 SELECT d.doc_id, coalesce(o.license, c.license) AS license, coalesce(o.score, c.score) AS score,
   CASE WHEN o.license IS NOT NULL THEN o.kind WHEN c.license IS NOT NULL THEN 'inherited' END AS method,
   CASE WHEN o.license IS NULL AND c.license IS NOT NULL THEN c.source END AS origin
-FROM documents d LEFT JOIN own o ON o.path = concat_ws('/', d.source, d.doc_id) LEFT JOIN covered c ON c.source = d.source
+FROM documents d LEFT JOIN own o ON o.path = coalesce(d.source, 'null') || '/' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') LEFT JOIN covered c ON c.source = coalesce(d.source, 'null')
 """
 
 
