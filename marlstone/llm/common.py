@@ -42,18 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go with the query that wrote them, and Python workers get texts in small batches.
+_OWN_QUERIES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 @contextmanager
 def own_shuffles(spark: SparkSession):
     """Shuffle files of the queries that run inside are deleted as soon as their results have been written."""
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in _OWN_QUERIES}
+    for name, value in _OWN_QUERIES.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -200,6 +203,7 @@ LONGEST = 64
 
 def kept(owner: str, name, make: Callable):
     """What `owner` keeps in this process under `name`. A process keeps things of one operator only; others' go first."""
+    _ASKED.add(owner)
     if (owner, name) not in _KEPT:
         if any(o != owner for o, _ in _KEPT):
             _KEPT.clear()
@@ -208,6 +212,10 @@ def kept(owner: str, name, make: Callable):
     return _KEPT[owner, name]
 
 
+#: Operators that have asked for what they keep since the last task began.
+_ASKED: set[str] = set()
+
+
 def trim() -> None:
     """Give back the memory that this process does not use."""
     gc.collect()
@@ -219,10 +227,14 @@ def trim() -> None:
 
 
 def each_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema), whose tasks give back their memory at the end."""
+    """df.mapInArrow(run, schema), whose tasks give back their memory at the end, and what other operators kept."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # whose free memory trim() gives back
+        _ASKED.clear()
         yield from run(batches)
+        if not _ASKED:
+            _KEPT.clear()  # left by another operator
         trim()
 
     return df.mapInArrow(task, schema)

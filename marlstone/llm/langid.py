@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in text_slices(batches, column=0):
+        for batch in text_slices(batches, column=0, most=1_500_000):
             codes, edges, words = letter_words(batch.column(0))
             n = np.diff(edges)
             langs, scores, lists = ["und"] * len(n), [0.0] * len(n), [[] for _ in n]
