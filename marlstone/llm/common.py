@@ -42,21 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Shuffle files go with the query that wrote them, and Python workers get texts in small batches.
-_OWN_QUERIES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the batches that Python workers get, and the setting that holds them.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 @contextmanager
 def own_shuffles(spark: SparkSession):
     """Shuffle files of the queries that run inside are deleted as soon as their results have been written."""
-    before = {name: spark.conf.get(name) for name in _OWN_QUERIES}
-    for name, value in _OWN_QUERIES.items():
-        spark.conf.set(name, value)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set(_CLEANUP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -227,7 +226,13 @@ def trim() -> None:
 
 
 def each_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema), whose tasks give back their memory at the end, and what other operators kept."""
+    """df.mapInArrow(run, schema), whose tasks give back their memory at the end, and what other operators kept.
+
+    Workers get batches of about BATCH_BYTES (a longer row stands alone): the session's setting is lowered to that.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # whose free memory trim() gives back
