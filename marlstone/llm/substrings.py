@@ -9,7 +9,7 @@ The others are split by prefixes of variable length. A prefix of one word whose
 shares) a group; one that has too many is lengthened by a word, and again, until it fits. A group's suffixes are sorted
 along their words; the lengths of common prefixes of neighbours are its tree, whose internal nodes at depth `span` are
 the repeats. All leaves of such a node but the first are reported, and runs of reported leaves are what is removed.
-Words are compared by a hash of 32 bits each, and whole paths by one of 64 bits beside.
+Words are compared by 16 bits of their hashes each, and whole paths by a digest of 64 bits beside.
 
 Before anything is sent, a task builds the tree of its own suffixes, reports what repeats there and sends the first
 leaf of each node alone, so that a passage in a third of all documents reaches its group once for each batch and not
@@ -124,13 +124,13 @@ def _suffixes(batch: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _paths(h: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-    """The paths of suffixes: `span` words of 32 bits, then a digest of them all; in the order of the words."""
-    out = np.zeros((len(at), 4 * span + 8), np.uint8)
+    """The paths of suffixes: `span` words of 16 bits, then a digest of them all; in the order of the words."""
+    out = np.zeros((len(at), 2 * span + 8), np.uint8)
     if len(at):
-        words = np.lib.stride_tricks.sliding_window_view((h >> np.uint64(32)).astype(">u4"), span)[at]
-        out[:, : 4 * span] = np.ascontiguousarray(words).view(np.uint8).reshape(len(at), -1)
-        out[:, 4 * span :] = gram_hashes(h, span)[at].astype(">u8").view(np.uint8).reshape(len(at), -1)
-    return out.reshape(-1).view(f"S{4 * span + 8}")
+        words = np.lib.stride_tricks.sliding_window_view((h >> np.uint64(48)).astype(">u2"), span)[at]
+        out[:, : 2 * span] = np.ascontiguousarray(words).view(np.uint8).reshape(len(at), -1)
+        out[:, 2 * span :] = gram_hashes(h, span)[at].astype(">u8").view(np.uint8).reshape(len(at), -1)
+    return out.reshape(-1).view(f"S{2 * span + 8}")
 
 
 def common_words(paths: np.ndarray, span: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def common_words(paths: np.ndarray, span: int) -> np.ndarray:
     flat = paths.view(np.uint8).reshape(len(paths), -1)
     differ = flat[1:] != flat[:-1]
     some = differ.any(axis=1)
-    return np.concatenate([[0], np.where(some, np.minimum(differ.argmax(axis=1) // 4, span - 1), span)]).astype(np.int64)
+    return np.concatenate([[0], np.where(some, np.minimum(differ.argmax(axis=1) // 2, span - 1), span)]).astype(np.int64)
 
 
 def deep_nodes(paths: np.ndarray, doc: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
         start = np.concatenate(starts).astype(np.int64)
         known = np.repeat(table.column("repeat").to_numpy(), [len(x) for x in starts])
         fresh = np.flatnonzero(~known)
-        paths = np.frombuffer(b"".join(table.column("paths").to_pylist()), f"S{4 * span + 8}")
+        paths = np.frombuffer(b"".join(table.column("paths").to_pylist()), f"S{2 * span + 8}")
         repeat, _ = deep_nodes(paths, place[doc[fresh]], start[fresh], span)
         found = np.concatenate([np.flatnonzero(known), fresh[repeat]])
         found = found[np.lexsort((start[found], doc[found]))]

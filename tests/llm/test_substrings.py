@@ -74,7 +74,7 @@ def test_full_prefixes_get_longer(spark, monkeypatch):
 
 
 def test_nodes_of_a_tree():
-    paths = substrings._paths(np.array([7, 8, 9, 7, 8, 9, 7, 8], np.uint64) << np.uint64(32), np.arange(6), 3)
+    paths = substrings._paths(np.array([7, 8, 9, 7, 8, 9, 7, 8], np.uint64) << np.uint64(48), np.arange(6), 3)
     order = np.argsort(paths, kind="stable")
     assert substrings.common_words(paths[order], 3).tolist() == [0, 3, 0, 3, 0, 3]
     repeat, first = substrings.deep_nodes(paths, np.array([5, 5, 5, 2, 2, 2]), np.arange(6), 3)
