@@ -221,15 +221,14 @@ def _flat(table: pa.Table, column: str) -> pa.Array:
 def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """(id, row, starts): for documents that have some, the starts of `span`-word windows that occur earlier.
 
-    docs has id, row (tells apart documents that share an id) and text. starts is a list of packed 32-bit integers,
-    one item for each group that found some.
+    docs has id, row (tells apart documents that share an id) and text. starts holds packed 32-bit integers.
     """
     spark = docs.sparkSession
     hits = repeated_anchors(docs, span)
     runs, _ = stage(candidate_runs(docs, hits, span), "runs")
     full = full_prefixes(runs, span, group)
     total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = max(1, -(-2 * total // group))
+    groups, shards = max(1, -(-2 * total // group)), max(1, -(-total // (4 * group)))
     sent = spark.sparkContext.broadcast(full)
     id_field = docs.schema["id"]
     lists = [T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("rows", T.ArrayType(T.LongType()))]
@@ -277,12 +276,31 @@ def repeated_starts(docs: DataFrame, span: int = SPAN, group: int = GROUP) -> Da
         found = found[np.lexsort((start[found], doc[found]))]
         which, first = np.unique(doc[found], return_index=True)
         packed = start[found].astype("<u4")
-        take = pa.array(which, pa.int64())
-        return pa.table({"id": names.take(take), "row": tags.take(take), "starts": pa.array([packed[a:b].tobytes() for a, b in itertools.pairwise([*first.tolist(), len(found)])], pa.binary())})
-
-    answer = T.StructType([id_field, T.StructField("row", T.LongType()), T.StructField("starts", T.BinaryType())])
+        parts = [packed[x:y].tobytes() for x, y in itertools.pairwise([*first.tolist(), len(found)])]
+        names, tags = names.take(pa.array(which, pa.int64())), tags.take(pa.array(which, pa.int64()))
+        shard = np.array([crc32(f"{i}/{r}".encode()) % shards for i, r in zip(names.to_pylist(), tags.to_pylist())], np.int64)
+        order = np.argsort(shard, kind="stable")
+        told, edges = np.unique(shard[order], return_index=True)
+        edges = np.append(edges, len(order))
+        lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x.take(pa.array(order))) for x in (names, tags)]
+        parts = [[parts[i] for i in order[x:y]] for x, y in itertools.pairwise(edges.tolist())]
+        return pa.table({"shard": pa.array(told, pa.int64()), "ids": lists[0], "rows": lists[1], "counts": pa.array([np.array([len(x) // 4 for x in p], "<u4").tobytes() for p in parts], pa.binary()), "starts": pa.array([b"".join(p) for p in parts], pa.binary())})
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names, tags = _flat(table, "ids"), _flat(table, "rows")
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        starts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("starts").to_pylist()])
+        place = _dense_order(names, tags)
+        _, one = np.unique(place, return_index=True)
+        order = np.argsort(np.repeat(place, counts), kind="stable")
+        starts, sizes = starts[order], np.bincount(place, counts).astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        return pa.table({"id": names.take(pa.array(one)), "row": tags.take(pa.array(one)), "starts": pa.array([starts[x:y].tobytes() for x, y in itertools.pairwise(edges)], pa.binary())})
+
+    # Answers are packed by shards of documents, so that their rows do not depend on how many groups a document is in.
+    answer = T.StructType([T.StructField("shard", T.LongType()), *lists, T.StructField("counts", T.BinaryType()), T.StructField("starts", T.BinaryType())])
     found = each_batch(runs, send, schema).groupBy("group").applyInArrow(subtree, answer)
-    return found.groupBy("id", "row").agg(F.collect_list("starts").alias("starts"))
+    return found.groupBy("shard").applyInArrow(gather, T.StructType([id_field, T.StructField("row", T.LongType()), T.StructField("starts", T.BinaryType())]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group: int = GROUP) -> DataFrame:
@@ -318,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join(words).decode())
                     spans.append([])
                     continue
-                at = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+                at = np.frombuffer(packed, "<u4").astype(np.int64)
                 change = np.bincount(at, minlength=len(words) + 1)[: len(words) + 1] - np.bincount(at + span, minlength=len(words) + 1)[: len(words) + 1]
                 removed = np.cumsum(change)[: len(words)] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])))
