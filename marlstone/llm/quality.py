@@ -3,8 +3,10 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts
 of their vote patterns (a number fixed by the labellers) estimates how each one votes on good and on bad documents,
 and so the probability that a document of each pattern is good. Those probabilities train a linear scorer on hashed
-words, word shapes and repetitions, which scores every document. A second set of labellers does the same for insults,
-where the probability of the pattern is the answer.
+words, word shapes and repetitions, which scores every document. A second set of labellers does the same for insults:
+two look at a fixed list of words, two are linear models, one of words and one of their beginnings, fitted on a bounded
+sample of rows with labels, so that insults that no list holds are voted on as well. The probabilities of their
+patterns, estimated from all rows and anchored by those with labels, train a second scorer, whose answer counts.
 """
 
 from __future__ import annotations
@@ -23,6 +25,14 @@ from marlstone.llm.common import as_bytes, pick, text_slices
 #: Weights of the scorer, and the most rows it is trained on (chosen by a hash of their text).
 BUCKETS, TRAIN_ROWS = 1 << 16, 10_000
 EPOCHS, RATE = 150, 0.5
+#: Features of insults: buckets of words, buckets of beginnings, the constant, and the number of listed words.
+CONSTANT, LISTED, INSULT_SIZE = 2 * BUCKETS, 2 * BUCKETS + 1, 2 * BUCKETS + 2
+#: A feature of insults counts from this many rows of the sample on, and its weight decays (chosen on a split of the training labels).
+INSULT_LEAST, INSULT_DECAY = 10, 1e-3
+#: The most rows with labels that the guides are fitted on, and how sure a guide must be to vote.
+LABEL_ROWS, SURE = 4_000, 0.7
+#: Texts are dealt to folds by a hash; guides fitted on the others judge a fold, so that no guide judges what it has seen.
+FOLDS = 2
 KNOWN = 300_000
 
 FUNCTION_WORDS = frozenset(
@@ -65,6 +75,14 @@ def hashed(word: bytes) -> tuple:
     return digest(b"w" + _core(word)) % BUCKETS, digest(b"s" + _RUNS.sub(rb"\1", word.translate(_KINDS))[:12]) % BUCKETS
 
 
+def spelled(word: bytes) -> tuple:
+    """Buckets of the word and of its first five characters, for the scorer of insults."""
+    from xxhash import xxh64_intdigest as digest
+
+    text = _core(word).decode("utf-8", "replace").lower().strip("¡¿«»„“”")
+    return digest(b"i" + text.encode()) % BUCKETS, BUCKETS + digest(b"b" + text[:5].encode()) % BUCKETS
+
+
 FIELDS = ("function", "stop", "insult", "capitals", "marks", "letters", "size")
 
 
@@ -97,10 +115,14 @@ class Words(dict):
 _WORDS: dict[str, Words] = {}
 
 
+#: What is kept of each word: for the votes, or for the scorers as well.
+_TELLS = {"votes": (lambda w: (*describe(w), *spelled(w)), 9), "both": (lambda w: (*describe(w), *spelled(w), *hashed(w)), 11)}
+
+
 def _words(kind: str) -> Words:
-    """This process's words, as the labellers or the scorer need them."""
+    """This process's words, as the labellers or the scorers need them."""
     if kind not in _WORDS:
-        _WORDS[kind] = Words(describe, len(FIELDS), np.float32) if kind == "votes" else Words(hashed, 2, np.int64)
+        _WORDS[kind] = Words(*_TELLS[kind], np.int32)
     return _WORDS[kind]
 
 
@@ -129,16 +151,39 @@ def _same_lines(texts: list[bytes | None]) -> np.ndarray:
     return np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
 
 
-def votes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Votes of the labellers of quality and of insults, a row for each text."""
-    split, n, doc = _split(texts)
-    words = _words("votes")
-    codes = words.code(split)
-    told = words.table[codes]
+class Seen:
+    """Words of texts, by their codes: kind says what is known of each."""
+
+    def __init__(self, texts: list[bytes | None], kind: str):
+        split, self.n, self.doc = _split(texts)
+        words = _words(kind)
+        self.kind, self.codes = kind, words.code(split)
+        self.table, self.size = words.table, max(1, len(words))
+        #: Distinct words of each text.
+        self.own_doc, self.own = np.divmod(np.unique(self.doc * self.size + self.codes), self.size)
+        self.repeats, self.same_lines = _repeats(self.codes, self.doc, self.n), _same_lines(texts)
+
+    def spelled(self) -> np.ndarray:
+        """Buckets of distinct words, and of their beginnings."""
+        return self.table[self.own, 7:9]
+
+    def linear(self, weights: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+        """Logistic answer of the weights of insult_features; a row of weights for each fold if there are folds."""
+        fold = np.zeros(len(self.n), np.int64) if fold is None else fold
+        weights, found = np.atleast_2d(weights), self.spelled()
+        listed, own = self.table[self.own, FIELDS.index("insult")], fold[self.own_doc]
+        raw = np.bincount(self.own_doc, weights[own, found[:, 0]] + weights[own, found[:, 1]] + weights[own, LISTED] * listed, len(self.n)) + weights[fold, CONSTANT]
+        return 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
+
+
+def votes(seen: Seen, guides: np.ndarray | None = None, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of the labellers of quality and of insults, a row for each text. Without guides, theirs are empty."""
+    n, doc, codes = seen.n, seen.doc, seen.codes
+    told = seen.table[codes]
     total = {f: np.bincount(doc, told[:, i], len(n)) for i, f in enumerate(FIELDS)}
     some = np.maximum(n, 1)
-    repeats, same_lines = _repeats(codes, doc, n), _same_lines(texts)
-    distinct = np.array([len(set(s)) for s in split], np.int64) / some
+    repeats, same_lines = seen.repeats, seen.same_lines
+    distinct = np.bincount(seen.own_doc, minlength=len(n)) / some
     marks = total["marks"] / np.maximum(total["size"], 1)
     capitals = total["capitals"] / np.maximum(total["letters"], 1)
     function, stop = total["function"] / some, total["stop"] / some
@@ -157,20 +202,25 @@ def votes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         axis=1,
     )
     hits = total["insult"]
-    bad = np.flatnonzero(told[:, 2] > 0)
-    kinds = np.bincount(np.unique(doc[bad] * len(words) + codes[bad]) // max(1, len(words)), minlength=len(n))
-    return quality, np.stack([_vote(hits == 0, hits >= 1), _vote(hits <= 1, hits >= 2), _vote(kinds == 0, kinds >= 2), _vote(hits / some < 0.001, hits / some > 0.01)], axis=1)
+    guided = [np.zeros(len(n), np.int64)] * 2 if guides is None else [_vote((p < 1 - SURE) & (n > 0), p > SURE) for p in (seen.linear(own, fold) for own in guides)]
+    return quality, np.stack([_vote(np.zeros(len(n), bool), hits >= 1), _vote(np.zeros(len(n), bool), hits / some > 0.01), *guided], axis=1)
 
 
-def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features as rows, buckets and values, and the number of words of each text."""
-    split, n, doc = _split(texts)
-    words = _words("scorer")
-    codes = words.code(split)
+def features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of the scorer of quality as rows, buckets and values."""
+    n, doc = seen.n, seen.doc
     share = 1 / np.maximum(n, 1)[doc]
     extra = np.tile(np.array([0, 1, 2]), len(n))  # the first buckets also hold repeats, equal lines and the constant
-    own = np.stack([_repeats(codes, doc, n), _same_lines(texts), np.ones(len(n))], axis=1).reshape(-1)
-    return np.concatenate([doc, doc, np.repeat(np.arange(len(n)), 3)]), np.concatenate([words.table[codes, 0], words.table[codes, 1], extra]), np.concatenate([share, share, own]), n
+    own = np.stack([seen.repeats, seen.same_lines, np.ones(len(n))], axis=1).reshape(-1)
+    return np.concatenate([doc, doc, np.repeat(np.arange(len(n)), 3)]), np.concatenate([seen.table[seen.codes, 9], seen.table[seen.codes, 10], extra]), np.concatenate([share, share, own])
+
+
+def insult_features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the scorer of insults: distinct words, their beginnings, those on the list, and the constant."""
+    found = seen.spelled().astype(np.int64)
+    every, listed = np.arange(len(seen.n)), seen.own_doc[seen.table[seen.own, FIELDS.index("insult")] > 0]
+    rows = np.concatenate([seen.own_doc, seen.own_doc, listed, every])
+    return rows, np.concatenate([found[:, 0], found[:, 1], np.full(len(listed), LISTED), np.full(len(every), CONSTANT)]), np.ones(len(rows))
 
 
 def pattern(votes: np.ndarray) -> np.ndarray:
@@ -178,20 +228,24 @@ def pattern(votes: np.ndarray) -> np.ndarray:
     return votes @ 3 ** np.arange(votes.shape[1])
 
 
-def estimate(counts: dict[int, int], labellers: int, prior: float = 0.85, rounds: int = 200) -> np.ndarray:
+def estimate(counts: dict[int, int], labellers: int, prior: float = 0.85, rounds: int = 200, known: np.ndarray | None = None, groups: tuple | None = None) -> np.ndarray:
     """Probability of "good" for every vote pattern, by expectation-maximisation over the counts of the patterns.
 
     Labellers are taken to vote independently given the class, each with its own accuracy and readiness to vote on
     either class. The start takes every labeller for better than chance, which fixes the meaning of the classes.
+    Labellers that see different things break independence: `groups` gives bad documents a kind for each group, which
+    that group sees at the start and the others do not. known counts patterns of good (row 0) and bad rows whose class
+    is given; they stay in their class.
     """
+    groups = groups or (range(labellers),)
     codes = np.arange(3**labellers)
     votes = codes[:, None] // 3 ** np.arange(labellers) % 3
     weight = np.zeros(len(codes))
     for code, n in counts.items():
         weight[code] = n
-    start = {1: (0.2, 0.7, 0.1), 2: (0.2, 0.1, 0.7)}
-    chance = np.log(np.array([[start[k]] * labellers for k in (1, 2)]))  # class, labeller, vote
-    share = np.array([prior, 1 - prior])
+    good, bad, blind = (0.2, 0.7, 0.1), (0.2, 0.1, 0.7), (0.45, 0.45, 0.1)
+    chance = np.log(np.array([[good] * labellers, *([bad if i in g else blind for i in range(labellers)] for g in groups)]))  # class, labeller, vote
+    share = np.array([prior, *[(1 - prior) / len(groups)] * len(groups)])
     for _ in range(rounds):
         logs = np.log(share)[:, None] + sum(chance[:, i, votes[:, i]] for i in range(labellers))
         logs -= logs.max(axis=0)
@@ -199,79 +253,145 @@ def estimate(counts: dict[int, int], labellers: int, prior: float = 0.85, rounds
         if not weight.sum():
             break
         part = post * weight
-        new = np.stack([[[part[k, votes[:, i] == v].sum() for v in range(3)] for i in range(labellers)] for k in range(2)]) + np.array([0.2, 0.4, 0.4])
+        if known is not None:
+            kind = np.exp(logs[1:] - logs[1:].max(axis=0))
+            part = part + np.concatenate([known[:1], kind / kind.sum(axis=0) * known[1]])
+        new = np.stack([[[part[k, votes[:, i] == v].sum() for v in range(3)] for i in range(labellers)] for k in range(len(share))]) + np.array([0.2, 0.4, 0.4])
         chance = np.log(new / new.sum(axis=2, keepdims=True))
         shares = part.sum(axis=1) + 1
         share = shares / shares.sum()
     return post[0]
 
 
-def train(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer on hashed features, by AdaGrad on the whole sample."""
-    weights, past = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
+def train(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, target: np.ndarray, size: int = BUCKETS, decay: float = 1e-6, least: int = 1) -> np.ndarray:
+    """Weights of a logistic scorer on hashed features, by AdaGrad on the whole sample; hashed ones of under `least` rows have none."""
+    weights, past = np.zeros(size), np.full(size, 1e-8)
     if not len(target):
         return weights
+    often = (np.bincount(buckets, minlength=size)[buckets] >= least) | (buckets >= CONSTANT)
+    rows, buckets, values = rows[often], buckets[often], values[often]
     for _ in range(EPOCHS):
-        p = 1 / (1 + np.exp(-np.bincount(rows, values * weights[buckets], len(target))))
-        gradient = np.bincount(buckets, values * (p - target)[rows], BUCKETS) / len(target) + 1e-6 * weights
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * weights[buckets], len(target)), -50, 50)))
+        gradient = np.bincount(buckets, values * (p - target)[rows], size) / len(target) + decay * weights
         past += gradient**2
         weights -= RATE * gradient / np.sqrt(past)
     return weights
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, n_words, weak_quality (from the votes), quality (by the scorer, 0 to 1), insult (0 to 1), keep.
+def _packed(found: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int) -> list[pa.Array]:
+    """Features as a row of buckets and a row of values for each text."""
+    rows, buckets, values = found
+    key, place = np.unique(rows * (4 * BUCKETS) + buckets, return_inverse=True)
+    value = np.bincount(place, values)
+    row, bucket = np.divmod(key, 4 * BUCKETS)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=texts))])
+    return [pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for x in (bucket.astype("<u4"), value.astype("<f4"))]
+
+
+def _unpacked(sample: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buckets = [np.frombuffer(b, "<u4") for b in sample.column(f"{name}_buckets").to_pylist()]
+    values = [np.frombuffer(b, "<f4") for b in sample.column(f"{name}_values").to_pylist()]
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    return np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]).astype(np.int64), flat(buckets, np.int64), flat(values, float)
+
+
+def fit_guides(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights of two guides, one of words and one of beginnings, for each fold, from docs (doc_id, text, fold) and labels (doc_id, toxic).
+
+    Labels of a null id or without a value are ignored; a document with several labels is toxic if one says so. At most
+    `label_rows` labelled ids, chosen by their hash, and as many rows are used. Beside, the vote patterns of these rows are
+    counted, good ones and toxic ones. None if a fold has rows of one kind only.
+    """
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
+    step = max(1, -(-known.count() // label_rows))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(step)) == 0).limit(label_rows)  # a bounded table
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, column=0, most=1_000_000):
+            seen = Seen(as_bytes(batch.column(0)), "both")
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *_packed(insult_features(seen), batch.num_rows)], names=["toxic", "fold", "insult_buckets", "insult_values"])
+
+    found = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
+    sample = found.mapInArrow(sparse, "toxic double, fold int, insult_buckets binary, insult_values binary").limit(label_rows).toArrow()
+    target, folds = (sample.column("toxic").to_numpy() > 0).astype(float), sample.column("fold").to_numpy()
+    rows, buckets, values = _unpacked(sample, "insult")
+    guides = np.zeros((2, FOLDS, INSULT_SIZE))
+    for fold in range(FOLDS):
+        learned = folds != fold
+        if len(set(target[learned].tolist())) < 2:
+            return None
+        place = np.cumsum(learned) - 1
+        for guide, part in zip(guides, ((buckets < BUCKETS) | (buckets == CONSTANT), (buckets >= BUCKETS) & (buckets <= CONSTANT))):
+            own = part & learned[rows]
+            guide[fold] = train(place[rows[own]], buckets[own], values[own], target[learned], INSULT_SIZE, INSULT_DECAY, INSULT_LEAST)
+    sent = docs.sparkSession.sparkContext.broadcast(guides)
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, column=0, most=1_000_000):
+            voted = votes(Seen(as_bytes(batch.column(0)), "votes"), sent.value, batch.column(2).to_numpy())[1]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pattern(voted))], names=["toxic", "insult"])
+
+    known = np.zeros((2, 3**4))
+    for row in found.mapInArrow(patterns, "toxic double, insult long").groupBy("toxic", "insult").count().collect():
+        known[int(row["toxic"] > 0), row["insult"]] += row["count"]
+    return guides, known
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, labels: DataFrame | None = None, label_rows: int = LABEL_ROWS) -> DataFrame:
+    """doc_id, n_words, weak_quality, weak_insult (from the votes), quality, insult (by the scorers, 0 to 1), keep.
 
     keep is true where quality is at least a half and insult is below a half. Null, empty and blank texts have quality
-    0 and are not kept. Repeated rows are scored each, null ids are allowed, other columns are ignored; an empty table
-    gives no row. The vote patterns of all rows are counted; the scorer is trained on at most about `train_rows` rows.
+    and insult 0 and are not kept. Repeated rows are scored each, null ids are allowed, other columns are ignored; an
+    empty table gives no row. The vote patterns of all rows are counted; the scorers are trained on at most about
+    `train_rows` rows. labels (doc_id, toxic) fit two labellers of insults on at most `label_rows` rows; without them
+    these never vote. Where copies of a text exceed a bound, any of them are taken.
     """
     spark = docs.sparkSession
-    source = pick(docs, doc_id=id_col, text=text_col)
+    source = pick(docs, doc_id=id_col, text=text_col).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(FOLDS)).cast("int"))
+    guides, known = (labels is not None and fit_guides(source, labels, label_rows)) or (None, None)
+    sent_guides = spark.sparkContext.broadcast(guides)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(v)) for v in votes(as_bytes(batch.column(0)))], names=["quality", "insult"])
+            seen = Seen(as_bytes(batch.column(0)), "votes")
+            yield pa.RecordBatch.from_arrays([pa.array(pattern(v)) for v in votes(seen, sent_guides.value, batch.column(1).to_numpy())], names=["quality", "insult"])
 
-    seen = source.select("text").mapInArrow(patterns, "quality long, insult long").groupBy("quality", "insult").count().collect()
+    counts = source.select("text", "fold").mapInArrow(patterns, "quality long, insult long").groupBy("quality", "insult").count().collect()
     counted: dict[str, dict[int, int]] = {"quality": {}, "insult": {}}
-    for row in seen:
+    for row in counts:
         for kind, own in counted.items():
             own[row[kind]] = own.get(row[kind], 0) + row["count"]
     total = sum(counted["quality"].values())
-    good = {k: estimate(counted[k], v.shape[1], prior) for (k, prior), v in zip((("quality", 0.85), ("insult", 0.95)), votes([b"a"]))}
+    good = {"quality": estimate(counted["quality"], 8), "insult": estimate(counted["insult"], 4, 0.95, known=known, groups=((0, 1), (2, 3)))}
     sent_good = spark.sparkContext.broadcast(good)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            texts = as_bytes(batch.column(0))
-            target = sent_good.value["quality"][pattern(votes(texts)[0])]
-            rows, buckets, values, _ = features(texts)
-            key, place = np.unique(rows * BUCKETS + buckets, return_inverse=True)
-            value = np.bincount(place, values).astype(np.float32)
-            row, bucket = np.divmod(key, BUCKETS)
-            sizes = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([pa.array(target), *(pa.array([x[a:b].tobytes() for a, b in zip(sizes[:-1], sizes[1:])], pa.binary()) for x in (bucket.astype("<u2"), value.astype("<f4")))], names=["target", "buckets", "values"])
+            seen = Seen(as_bytes(batch.column(0)), "both")
+            voted, insulting = votes(seen, sent_guides.value, batch.column(1).to_numpy())
+            arrays = [pa.array(sent_good.value["quality"][pattern(voted)]), pa.array(1 - sent_good.value["insult"][pattern(insulting)])]
+            yield pa.RecordBatch.from_arrays([*arrays, *_packed(features(seen), batch.num_rows), *_packed(insult_features(seen), batch.num_rows)], names=[f.split()[0] for f in fields.split(", ")])
 
+    fields = "good double, bad double, quality_buckets binary, quality_values binary, insult_buckets binary, insult_values binary"
     step = max(1, -(-total // train_rows))
-    chosen = source.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(step)) == 0).select("text")
+    chosen = source.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(step)) == 0).select("text", "fold")
     # Copies of a text share the hash, so that the sample is cut to its bound as well.
-    sample = chosen.mapInArrow(sparse, "target double, buckets binary, values binary").limit(train_rows).toArrow()
-    buckets = [np.frombuffer(b, "<u2") for b in sample.column("buckets").to_pylist()]
-    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    weights = train(np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]).astype(np.int64), flat(buckets, np.int64).astype(np.int64), flat([np.frombuffer(b, "<f4") for b in sample.column("values").to_pylist()], float), sample.column("target").to_numpy())
-    sent = spark.sparkContext.broadcast(weights)
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("weak_quality", "quality", "insult")), T.StructField("keep", T.BooleanType())])
+    sample = chosen.mapInArrow(sparse, fields).limit(train_rows).toArrow()
+    weights = train(*_unpacked(sample, "quality"), sample.column("good").to_numpy())
+    insults = train(*_unpacked(sample, "insult"), sample.column("bad").to_numpy(), INSULT_SIZE, INSULT_DECAY, INSULT_LEAST)
+    sent = spark.sparkContext.broadcast((weights, insults))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("weak_quality", "weak_insult", "quality", "insult")), T.StructField("keep", T.BooleanType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=1_000_000):
-            texts = as_bytes(batch.column(1))
-            rows, buckets, values, n = features(texts)
-            voted, insulting = votes(texts)
-            raw = np.bincount(rows, values * sent.value[buckets], len(texts))
-            quality = np.where(n > 0, 1 / (1 + np.exp(-raw)), 0.0)
-            weak = np.where(n > 0, sent_good.value["quality"][pattern(voted)], 0.0)
-            insult = 1 - sent_good.value["insult"][pattern(insulting)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weak), pa.array(quality), pa.array(insult), pa.array((quality >= 0.5) & (insult < 0.5))], names=[f.name for f in schema])
+            seen = Seen(as_bytes(batch.column(1)), "both")
+            voted, insulting = votes(seen, sent_guides.value, batch.column(2).to_numpy())
+            rows, buckets, values = features(seen)
+            some = seen.n > 0
+            quality = np.where(some, 1 / (1 + np.exp(-np.bincount(rows, values * sent.value[0][buckets], len(some)))), 0.0)
+            weak = np.where(some, sent_good.value["quality"][pattern(voted)], 0.0)
+            weak_insult = np.where(some, 1 - sent_good.value["insult"][pattern(insulting)], 0.0)
+            insult = np.where(some, seen.linear(sent.value[1]), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen.n), *map(pa.array, (weak, weak_insult, quality, insult, (quality >= 0.5) & (insult < 0.5)))], names=[f.name for f in schema])
 
     return source.mapInArrow(score, schema)

@@ -35,7 +35,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"))
+    """Insult labellers learn from the labels of documents whose crc32(doc_id as text) mod 4 is not 2."""
+    return quality.classify(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels").where(~langid.held_out()))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

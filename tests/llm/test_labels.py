@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -134,6 +135,46 @@ def test_quality_edges(spark):
     assert quality.classify(frame(spark, [])).collect() == []
 
 
+def test_insults_of_labels_not_seen(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    told = {r["doc_id"]: r["insult"] >= 0.5 for r in quality.classify(labelled, labels=labels.where(~langid.held_out())).collect()}
+    unseen = duckdb.sql(f"SELECT doc_id, lang, toxic FROM '{base}/labels.parquet' JOIN '{base}/documents.parquet' USING (doc_id)").fetchall()
+    unseen = [r for r in unseen if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert np.mean([told[i] for i, lang, toxic in unseen if toxic and lang == "en"]) > 0.85
+    assert np.mean([told[i] for i, lang, toxic in unseen if toxic and lang != "en"]) > 0.6
+    assert np.mean([told[i] for i, _, toxic in unseen if not toxic]) < 0.01
+
+
+def test_labels_edges(spark):
+    rows = [(1, None, ""), (None, "one two", ""), (3, "x " * 40_000, ""), (3, "y", ""), (4, "", "")] + [(10 + i, "Grumbel you are " * 9, "") for i in range(30)] + [(50 + i, "a fine day for all " * 9, "") for i in range(30)]
+    known = [(10 + i, 1, "t") for i in range(30)] + [(50 + i, 0, "t") for i in range(30)] + [(1, 1, "t"), (None, 1, "t"), (3, None, "t"), (3, 0, "t"), (3, 0, "t"), (999, 1, "t")]
+    frame_of = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    for labels in (frame_of(known), frame_of([]), frame_of(known[:30]), None):
+        got = quality.classify(frame(spark, rows), labels=labels).collect()
+        assert len(got) == len(rows) and all(r["insult"] == 0 and not r["keep"] for r in got if r["doc_id"] in (1, 4))
+    assert quality.classify(frame(spark, []), labels=frame_of(known)).collect() == []
+
+
+def test_kinds_of_bad():
+    """Two pairs of labellers that see different things, each pair voting alike, so that one kind of bad cannot explain both."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    kind = rng.choice(3, n, p=[0.92, 0.04, 0.04])
+    see = lambda k: np.where(kind == k, np.where(rng.random(n) < 0.9, 2, 1), np.where(rng.random(n) < 0.999, 1, 2))
+    coded = np.stack([see(1), see(1), see(2), see(2)], axis=1)
+    codes, counts = np.unique(quality.pattern(coded), return_counts=True)
+    counted = dict(zip(codes.tolist(), counts.tolist()))
+    good = quality.estimate(counted, 4, 0.95, groups=((0, 1), (2, 3)))
+    truth = np.stack([np.bincount(quality.pattern(coded), kind == k, 81) for k in (0, 1, 2)])
+    brute = truth[0] / np.maximum(truth.sum(axis=0), 1)
+    often = [c for c, k in counted.items() if k >= 100]
+    assert np.abs(good[often] - brute[often]).max() < 0.1
+    known = np.stack([truth[0] / 10, (truth[1] + truth[2]) / 10])
+    assert np.abs(quality.estimate(counted, 4, 0.95, known=known, groups=((0, 1), (2, 3)))[often] - brute[often]).max() < 0.1
+
+
 def test_licences(spark):
     apache, mit, gpl = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
