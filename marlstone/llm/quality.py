@@ -11,8 +11,8 @@ patterns, estimated from all rows and anchored by those with labels, train a sec
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -48,50 +48,51 @@ INSULTS = frozenset(
 )
 
 
-_UPPER, _DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 #: Kinds of bytes: capital letters, other letters and all beyond ASCII, digits; marks stand for themselves.
-_KINDS = bytes(0x58 if c in _UPPER else 0x78 if c >= 0x80 or chr(c).isalpha() else 0x30 if c in _DIGITS else c for c in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.S)
+_KINDS = np.array([0x58 if 0x41 <= c <= 0x5A else 0x78 if c >= 0x80 or chr(c).isalpha() else 0x30 if 0x30 <= c <= 0x39 else c for c in range(256)], np.uint8)
+_IS_MARK, _IS_END = (np.isin(np.arange(256), list(marks)) for marks in (_MARKS, b".,;:!?"))
 _FUNCTION, _INSULTS = (frozenset(w.encode() for w in words) for words in (FUNCTION_WORDS, INSULTS))
-_ENDS = frozenset(b".,;:!?")
-
-
-def _core(word: bytes) -> bytes:
-    return word.lower().strip(b".,;:!?\"'()[]|#$%&*")
-
-
-def describe(word: bytes) -> tuple:
-    """What the labellers look at: function word, ends a sentence or clause, insult, capitals, marks, letters, bytes."""
-    core, size = _core(word), len(word)
-    marks, digits = size - len(word.translate(None, _MARKS)), size - len(word.translate(None, _DIGITS))
-    return core in _FUNCTION, word[-1] in _ENDS, core in _INSULTS, size - len(word.translate(None, _UPPER)), marks, size - marks - digits, size
-
-
-def hashed(word: bytes) -> tuple:
-    """Buckets of the word without marks, and of its shape."""
-    from xxhash import xxh64_intdigest as digest
-
-    return digest(b"w" + _core(word)) % BUCKETS, digest(b"s" + _RUNS.sub(rb"\1", word.translate(_KINDS))[:12]) % BUCKETS
-
-
-def spelled(word: bytes) -> tuple:
-    """Buckets of the word and of its first five characters, for the scorer of insults."""
-    from xxhash import xxh64_intdigest as digest
-
-    text = _core(word).decode("utf-8", "replace").lower().strip("¡¿«»„“”")
-    return digest(b"i" + text.encode()) % BUCKETS, BUCKETS + digest(b"b" + text[:5].encode()) % BUCKETS
-
-
-FIELDS = ("function", "stop", "insult", "capitals", "marks", "letters", "size")
+#: Multipliers of the hash of a word's shape, one for each of its first places.
+_PLACES = np.random.default_rng(12).integers(1, 1 << 63, 12, np.uint64) | np.uint64(1)
+
+#: What the labellers and the scorers look at: listed words, marks and letters, then buckets.
+FIELDS = ("function", "stop", "insult", "capitals", "marks", "letters", "size", "word", "beginning", "shape")
+WORD, BEGINNING, SHAPE = range(7, 10)
+
+
+def _beginning(core: bytes) -> bytes:
+    """The first five characters."""
+    return core[:5] if core[:20].isascii() else core[:20].decode("utf-8", "ignore")[:5].encode()
+
+
+def tell(words: list[bytes]) -> np.ndarray:
+    """A row of FIELDS for each word: of its bytes, of the word without marks, and of its shape, with runs as one."""
+    size = np.array([len(w) for w in words], np.int64)
+    starts = np.cumsum(size) - size
+    text = np.frombuffer(b"".join(words), np.uint8)
+    count = lambda flags: np.add.reduceat(flags.astype(np.int32), starts)
+    kinds = _KINDS[text]
+    marks, digits = count(_IS_MARK[text]), count(kinds == 0x30)
+    cores = [w.lower().strip(b".,;:!?\"'()[]|#$%&*") for w in words]
+    listed = [np.array([c in known for c in cores]) for known in (_FUNCTION, _INSULTS)]
+    word, beginning = (np.array([crc32(x) for x in part], np.int64) % BUCKETS for part in (cores, map(_beginning, cores)))
+    first = np.ones(len(text), bool)
+    first[1:] = kinds[1:] != kinds[:-1]
+    first[starts] = True
+    runs = count(first)
+    place = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    held = np.where(place < 12, kinds[first].astype(np.uint64) * _PLACES[np.minimum(place, 11)], np.uint64(0))
+    shape = np.add.reduceat(held, np.cumsum(runs) - runs) >> np.uint64(48)
+    return np.stack([listed[0], _IS_END[text[starts + size - 1]], listed[1], count(kinds == 0x58), marks, size - marks - digits, size, word, BUCKETS + beginning, shape % np.uint64(BUCKETS)], axis=1).astype(np.int32)
 
 
 class Words(dict):
-    """Codes of words, and a row of `table` for each code: what `tell` says of the word."""
+    """Codes of words, and a row of `table` for each code: what is told of the word."""
 
-    def __init__(self, tell, width: int, kind):
+    def __init__(self):
         super().__init__()
-        self.tell, self.table = tell, np.zeros((0, width), kind)
+        self.table = np.zeros((0, len(FIELDS)), np.int32)
         self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -108,22 +109,12 @@ class Words(dict):
         self.new = []
         codes = np.array([c for s in split for c in map(self.__getitem__, s)], np.int64)
         if self.new:
-            self.table = np.concatenate([self.table, np.array([self.tell(w) for w in self.new], self.table.dtype)])
+            self.table = np.concatenate([self.table, tell(self.new)])
         return codes
 
 
-_WORDS: dict[str, Words] = {}
-
-
-#: What is kept of each word: for the votes, or for the scorers as well.
-_TELLS = {"votes": (lambda w: (*describe(w), *spelled(w)), 9), "both": (lambda w: (*describe(w), *spelled(w), *hashed(w)), 11)}
-
-
-def _words(kind: str) -> Words:
-    """This process's words, as the labellers or the scorers need them."""
-    if kind not in _WORDS:
-        _WORDS[kind] = Words(*_TELLS[kind], np.int32)
-    return _WORDS[kind]
+#: This process's words.
+_WORDS = Words()
 
 
 def _vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -152,20 +143,19 @@ def _same_lines(texts: list[bytes | None]) -> np.ndarray:
 
 
 class Seen:
-    """Words of texts, by their codes: kind says what is known of each."""
+    """Words of texts, by their codes."""
 
-    def __init__(self, texts: list[bytes | None], kind: str):
+    def __init__(self, texts: list[bytes | None]):
         split, self.n, self.doc = _split(texts)
-        words = _words(kind)
-        self.kind, self.codes = kind, words.code(split)
-        self.table, self.size = words.table, max(1, len(words))
+        self.codes = _WORDS.code(split)
+        self.table, self.size = _WORDS.table, max(1, len(_WORDS))
         #: Distinct words of each text.
         self.own_doc, self.own = np.divmod(np.unique(self.doc * self.size + self.codes), self.size)
         self.repeats, self.same_lines = _repeats(self.codes, self.doc, self.n), _same_lines(texts)
 
     def spelled(self) -> np.ndarray:
         """Buckets of distinct words, and of their beginnings."""
-        return self.table[self.own, 7:9]
+        return self.table[self.own, WORD : BEGINNING + 1]
 
     def linear(self, weights: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
         """Logistic answer of the weights of insult_features; a row of weights for each fold if there are folds."""
@@ -179,8 +169,7 @@ class Seen:
 def votes(seen: Seen, guides: np.ndarray | None = None, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Votes of the labellers of quality and of insults, a row for each text. Without guides, theirs are empty."""
     n, doc, codes = seen.n, seen.doc, seen.codes
-    told = seen.table[codes]
-    total = {f: np.bincount(doc, told[:, i], len(n)) for i, f in enumerate(FIELDS)}
+    total = {f: np.bincount(doc, seen.table[codes, i], len(n)) for i, f in enumerate(FIELDS[:WORD])}
     some = np.maximum(n, 1)
     repeats, same_lines = seen.repeats, seen.same_lines
     distinct = np.bincount(seen.own_doc, minlength=len(n)) / some
@@ -212,7 +201,7 @@ def features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     share = 1 / np.maximum(n, 1)[doc]
     extra = np.tile(np.array([0, 1, 2]), len(n))  # the first buckets also hold repeats, equal lines and the constant
     own = np.stack([seen.repeats, seen.same_lines, np.ones(len(n))], axis=1).reshape(-1)
-    return np.concatenate([doc, doc, np.repeat(np.arange(len(n)), 3)]), np.concatenate([seen.table[seen.codes, 9], seen.table[seen.codes, 10], extra]), np.concatenate([share, share, own])
+    return np.concatenate([doc, doc, np.repeat(np.arange(len(n)), 3)]), np.concatenate([seen.table[seen.codes, WORD], seen.table[seen.codes, SHAPE], extra]), np.concatenate([share, share, own])
 
 
 def insult_features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,7 +297,7 @@ def fit_guides(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            seen = Seen(as_bytes(batch.column(0)), "both")
+            seen = Seen(as_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *_packed(insult_features(seen), batch.num_rows)], names=["toxic", "fold", "insult_buckets", "insult_values"])
 
     found = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
@@ -328,7 +317,7 @@ def fit_guides(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            voted = votes(Seen(as_bytes(batch.column(0)), "votes"), sent.value, batch.column(2).to_numpy())[1]
+            voted = votes(Seen(as_bytes(batch.column(0))), sent.value, batch.column(2).to_numpy())[1]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pattern(voted))], names=["toxic", "insult"])
 
     known = np.zeros((2, 3**4))
@@ -353,7 +342,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            seen = Seen(as_bytes(batch.column(0)), "votes")
+            seen = Seen(as_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(pattern(v)) for v in votes(seen, sent_guides.value, batch.column(1).to_numpy())], names=["quality", "insult"])
 
     counts = source.select("text", "fold").mapInArrow(patterns, "quality long, insult long").groupBy("quality", "insult").count().collect()
@@ -367,7 +356,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, column=0, most=1_000_000):
-            seen = Seen(as_bytes(batch.column(0)), "both")
+            seen = Seen(as_bytes(batch.column(0)))
             voted, insulting = votes(seen, sent_guides.value, batch.column(1).to_numpy())
             arrays = [pa.array(sent_good.value["quality"][pattern(voted)]), pa.array(1 - sent_good.value["insult"][pattern(insulting)])]
             yield pa.RecordBatch.from_arrays([*arrays, *_packed(features(seen), batch.num_rows), *_packed(insult_features(seen), batch.num_rows)], names=[f.split()[0] for f in fields.split(", ")])
@@ -384,7 +373,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=1_000_000):
-            seen = Seen(as_bytes(batch.column(1)), "both")
+            seen = Seen(as_bytes(batch.column(1)))
             voted, insulting = votes(seen, sent_guides.value, batch.column(2).to_numpy())
             rows, buckets, values = features(seen)
             some = seen.n > 0
