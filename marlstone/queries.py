@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.errors import LoadError
 from marlstone.sources.catalog import CatalogMeta, ColumnMeta, Database, TableMeta
 from marlstone.sources.loader import load
 
@@ -47,6 +48,9 @@ SQL: dict[str, tuple[str, str | None]] = {
     "filter_columns": ("SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_discount > l_tax", None),
     "cast_column": ("SELECT p_partkey FROM part WHERE (Int64)p_size > 10", "SELECT p_partkey FROM part WHERE CAST(p_size AS BIGINT) > 10"),
     "cast_literal": ("SELECT p_partkey FROM part WHERE p_retailprice > (Double)1000", "SELECT p_partkey FROM part WHERE p_retailprice > CAST(1000 AS DOUBLE)"),
+    "cast_literal_whole": ("SELECT p_partkey, p_size FROM part WHERE p_size > (Int64)20", "SELECT p_partkey, p_size FROM part WHERE p_size > CAST(20 AS BIGINT)"),
+    "cast_single": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (Single)l_quantity >= 30", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST(l_quantity AS FLOAT) >= 30"),
+    "cast_float": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (Float)l_quantity < 7", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST(l_quantity AS FLOAT) < 7"),
     "cast_to_whole": ("SELECT l_orderkey FROM lineitem WHERE (Decimal)l_quantity == 17", "SELECT l_orderkey FROM lineitem WHERE CAST(l_quantity AS DECIMAL(38, 10)) = 17"),
     "top": (f"SELECT TOP 10 {ORDERS} FROM orders", f"SELECT {ORDERS} FROM orders ORDER BY o_orderkey NULLS FIRST LIMIT 10"),
     "top_where": (f"SELECT TOP 25 {ORDERS} FROM orders WHERE o_custkey > 700 AND o_orderstatus == 'O'", f"SELECT {ORDERS} FROM orders WHERE o_custkey > 700 AND o_orderstatus = 'O' ORDER BY o_custkey NULLS FIRST, o_orderkey NULLS FIRST LIMIT 25"),
@@ -91,23 +95,69 @@ def database(spark: SparkSession, sf_dir: str, strict: bool = False) -> Database
     return Database.from_parquet(spark, sf_dir, KEYS, KEYS, strict)
 
 
+#: The catalog of the archive, with names in the titled form.
+TITLED = """{"Version": "1.01", "Description": "two tables", "Name": "test", "PageSize": 255, "Tables": [
+ {"Name": "nation", "FileName": "nation.txt", "Generate": true, "Multikey": false, "Rows": 25, "Columns": [
+  {"Name": "n_nationkey", "Index": 0, "Type": "Int32", "Key": true, "Indexed": true, "Unique": true}, {"Name": "n_name", "Index": 1, "Type": "String", "Key": false, "Indexed": false},
+  {"Name": "n_regionkey", "Index": 2, "Type": "Int32", "Key": false, "Indexed": true, "Unique": false}]},
+ {"Name": "absent", "Generate": false, "Columns": [{"Name": "a", "Index": 0, "Type": "Byte", "Key": true, "Indexed": true}]}]}"""
+
+
+def _loaded(spark: SparkSession, sf_dir: str, kind: str, header: str = "n_nationkey,n_name,n_regionkey", catalog: str | CatalogMeta = TITLED) -> Database:
+    """Write nation as CSV into an archive and load it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    folder = tempfile.mkdtemp()
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").toLocalIterator()
+    archive = os.path.join(folder, "tables.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        lines = [header, *(f'{r["n_nationkey"]},"{r["n_name"]}",{r["n_regionkey"]}' for r in rows)]
+        out.writestr("nation.txt", "\n".join(lines) + "\n")
+    return load(spark, archive, catalog, f"{shared}/load-{uuid.uuid4().hex}", kind)
+
+
 def _roundtrip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Write nation as CSV into an archive, load it and read it back."""
+    columns = [ColumnMeta("n_nationkey", "Int32", True, True), ColumnMeta("n_name", "String"), ColumnMeta("n_regionkey", "Int32", indexed=True)]
+    return lambda spark, sf_dir: _loaded(spark, sf_dir, kind, catalog=CatalogMeta("test", tables=[TableMeta("nation", columns)])).table("nation")
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the loader says to a header that names columns in another order."""
+    try:
+        _loaded(spark, sf_dir, "csv", "n_name,n_nationkey,n_regionkey")
+        said = "loaded"
+    except LoadError as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "said string")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a catalog after it was written as JSON and read again."""
+    meta = CatalogMeta.from_json(CatalogMeta.from_json(TITLED).check().to_json())
+    rows = [(t.name, t.generate, i, c.name, c.type, c.key, c.indexed, c.unique) for t in meta.tables for i, c in enumerate(t.columns)]
+    return spark.createDataFrame(rows, "tab string, generated boolean, ordinal int, col string, type string, is_key boolean, indexed boolean, uniq boolean")
+
+
+def _printed(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The result of a query that was parsed and printed before."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-        folder = tempfile.mkdtemp()
-        rows = spark.read.parquet(f"{sf_dir}/nation.parquet").toLocalIterator()
-        archive = os.path.join(folder, "tables.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            lines = ["n_nationkey,n_name,n_regionkey", *(f'{r["n_nationkey"]},"{r["n_name"]}",{r["n_regionkey"]}' for r in rows)]
-            out.writestr("nation.txt", "\n".join(lines) + "\n")
-        columns = [ColumnMeta("n_nationkey", "Int32", True, True), ColumnMeta("n_name", "String"), ColumnMeta("n_regionkey", "Int32", indexed=True)]
-        return load(spark, archive, CatalogMeta("test", tables=[TableMeta("nation", columns)]), f"{shared}/load-{uuid.uuid4().hex}", kind).table("nation")
+        db = database(spark, sf_dir)
+        return db.sql(db.parse(text).to_sql())
 
     return run
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of region as objects of its record class, and back."""
+    db = database(spark, sf_dir)
+    kind = db.record_class("region")
+    made = [kind.from_row(r) for r in db.table("region").collect()]  # five rows
+    return spark.createDataFrame([(r.r_regionkey, r.r_name) for r in made], "r_regionkey long, r_name string")
+
+
+TREE_SQL = """WITH RECURSIVE d AS (SELECT count(DISTINCT {column}) AS n FROM {table}), t(n) AS (SELECT n FROM d UNION ALL SELECT unnest([n // 2, n - n // 2 - 1]) FROM t WHERE n > 255)
+SELECT (SELECT n FROM d) AS "distinct", count(*) FILTER (n BETWEEN 1 AND 255) AS leaf_pages, count(*) FILTER (n > 255) AS inner_nodes, count(*) FILTER (n BETWEEN 1 AND 255) AS leaf_nodes, 2 * count(*) FILTER (n BETWEEN 1 AND 255) + count(*) FILTER (n > 255) AS pages FROM t"""
+
 API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "compare_rows": (lambda s, d: database(s, d).compare("part.p_size", ">", "20"), "SELECT * FROM part WHERE p_size > 20"),
     "compare_keys": (lambda s, d: database(s, d).compare_keys("part.p_size", "<=", 4), "SELECT p_partkey FROM part WHERE p_size <= 4"),
@@ -126,6 +176,29 @@ API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "load_parquet": (_roundtrip("parquet"), "SELECT * FROM nation"),
     "load_csv": (_roundtrip("csv"), "SELECT * FROM nation"),
+    "index_report": (lambda s, d: database(s, d).index_report("orders.o_orderkey"), TREE_SQL.format(column="o_orderkey", table="orders")),
+    "index_report_small": (lambda s, d: database(s, d).index_report("orders.o_custkey"), TREE_SQL.format(column="o_custkey", table="orders")),
+    "find_two_keys": (lambda s, d: database(s, d).find("lineitem", 2, 4).select(*LINES.split(", ")), f"SELECT {LINES} FROM lineitem WHERE l_orderkey = 2 AND l_linenumber = 4"),
+    "csv_compare": (lambda s, d: _loaded(s, d, "csv").compare("nation.n_regionkey", ">=", "2"), "SELECT * FROM nation WHERE n_regionkey >= 2"),
+    "csv_sum": (lambda s, d: _loaded(s, d, "csv").sql("SELECT SUM(n_nationkey) AS s, AVG(n_regionkey) AS a FROM nation"), "SELECT CAST(sum(n_nationkey) AS BIGINT) AS s, avg(n_regionkey) AS a FROM nation"),
+    "load_counts": (
+        lambda s, d: _loaded(s, d, "parquet").tables_info().select(F.col("table").alias("tab"), F.col("rows").alias("n"), F.col("column").alias("col"), "indexed", F.col("distinct").alias("n_distinct"), F.col("unique").alias("uniq")),
+        """SELECT 'nation' AS tab, (SELECT count(*) FROM nation) AS n, 'n_nationkey' AS col, true AS indexed, (SELECT count(DISTINCT n_nationkey) FROM nation) AS n_distinct, true AS uniq
+        UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 'n_name', false, NULL, false
+        UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 'n_regionkey', true, (SELECT count(DISTINCT n_regionkey) FROM nation), false
+        UNION ALL SELECT 'absent', NULL, 'a', true, NULL, false""",
+    ),
+    "load_header_refused": (_refused, """SELECT 'nation: the header is [''n_name'', ''n_nationkey'', ''n_regionkey''], declared is [''n_nationkey'', ''n_name'', ''n_regionkey'']' AS said"""),
+    "catalog_exported": (
+        _exported,
+        """SELECT * FROM (VALUES ('nation', true, 0, 'n_nationkey', 'Int32', true, true, true), ('nation', true, 1, 'n_name', 'String', false, false, false), ('nation', true, 2, 'n_regionkey', 'Int32', false, true, false),
+        ('absent', false, 0, 'a', 'Byte', true, true, false)) AS t(tab, generated, ordinal, col, type, is_key, indexed, uniq)""",
+    ),
+    "query_printed": (
+        _printed("select top 7 c.c_custkey as id, n_name from customer c join nation n on c.c_nationkey = n.n_nationkey where (c.c_acctbal > -10 or n_name <> \"x\") and c_custkey in (1, 2, 3, 50)"),
+        "SELECT c_custkey AS id, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_acctbal > -10 OR n_name <> 'x') AND c_custkey IN (1, 2, 3, 50)",
+    ),
+    "record_class": (_records, "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region"),
     "strict_average": (lambda s, d: database(s, d, strict=True).sql("SELECT AVG(p_size) AS a FROM part"), "SELECT CAST(round_even(avg(p_size), 0) AS INTEGER) AS a FROM part"),
     "strict_sum": (lambda s, d: database(s, d, strict=True).sql("SELECT SUM(n_regionkey) AS s FROM nation WHERE n_nationkey < 0"), "SELECT CAST(0 AS INTEGER) AS s"),
 }

@@ -42,13 +42,17 @@ class ColumnMeta:
 
 @dataclass
 class TableMeta:
-    """A declared table; a table that is not generated is skipped by the loader."""
+    """A declared table; a table that is not generated is skipped by the loader.
+
+    Where no field of its CSV file holds a line break, multiline may be false, and tasks share the file.
+    """
 
     name: str
     columns: list[ColumnMeta]
     rows: int | None = None
     generate: bool = True
     format: str = "parquet"
+    multiline: bool = True
 
     def schema(self) -> T.StructType:
         return T.StructType([c.field() for c in self.columns])
@@ -100,10 +104,23 @@ class CatalogMeta:
 
     @staticmethod
     def from_json(text: str) -> CatalogMeta:
+        """A catalog of our own shape, or of that with names like `Tables`, `Columns`, `Key` and `PageSize`."""
         raw = json.loads(text)
+        if "Tables" in raw:
+            return CatalogMeta._of_titled(raw)
         tables = [TableMeta(**{**t, "columns": [ColumnMeta(**c) for c in t["columns"]]}) for t in raw.pop("tables")]
         return CatalogMeta(**raw, tables=tables)
 
+    @staticmethod
+    def _of_titled(raw: dict) -> CatalogMeta:
+        """Columns stand in the order of their `Index` where they have one; what only describes files is ignored."""
+        tables = []
+        for t in raw["Tables"]:
+            columns = sorted(enumerate(t["Columns"]), key=lambda c: c[1].get("Index", c[0]))
+            made = [ColumnMeta(c["Name"], c["Type"], c.get("Key", False), c.get("Indexed", False), c.get("Unique", False)) for _, c in columns]
+            tables.append(TableMeta(t["Name"], made, t.get("Rows"), t.get("Generate", True)))
+        return CatalogMeta(raw.get("Name", ""), raw.get("Version", "1"), raw.get("Description", ""), raw.get("PageSize", 255), tables)
+
 
 #: What a catalog file has to look like.
 CATALOG_SCHEMA = {
@@ -111,7 +128,7 @@ CATALOG_SCHEMA = {
     "properties": {
         "name": {"type": "string"}, "version": {"type": "string"}, "description": {"type": "string"}, "page_size": {"type": "integer", "minimum": 1},
         "tables": {"type": "array", "items": {"type": "object", "required": ["name", "columns"], "properties": {
-            "name": {"type": "string"}, "rows": {"type": ["integer", "null"]}, "generate": {"type": "boolean"}, "format": {"enum": ["parquet", "csv"]},
+            "name": {"type": "string"}, "rows": {"type": ["integer", "null"]}, "generate": {"type": "boolean"}, "format": {"enum": ["parquet", "csv"]}, "multiline": {"type": "boolean"},
             "columns": {"type": "array", "items": {"type": "object", "required": ["name", "type"], "properties": {
                 "name": {"type": "string"}, "type": {"enum": list(TYPES)}, "key": {"type": "boolean"}, "indexed": {"type": "boolean"},
                 "unique": {"type": "boolean"}, "scale": {"type": "integer"}, "distinct": {"type": ["integer", "null"]}}}}}}},
@@ -148,7 +165,7 @@ class Database:
         for t in meta.tables:
             if t.generate:
                 reader = spark.read.schema(t.schema())
-                frames[t.name] = reader.csv(f"{path}/{t.name}", header=True, quote='"', escape='"', mode="FAILFAST", multiLine=True) if t.format == "csv" else reader.parquet(f"{path}/{t.name}")
+                frames[t.name] = reader.csv(f"{path}/{t.name}", header=True, quote='"', escape='"', mode="FAILFAST", multiLine=t.multiline) if t.format == "csv" else reader.parquet(f"{path}/{t.name}")
         return cls(spark, meta, frames, strict, path)
 
     @classmethod

@@ -61,7 +61,7 @@ def check_header(spark: SparkSession, path: str, table: TableMeta) -> None:
 def read_csv(spark: SparkSession, path: str, table: TableMeta) -> DataFrame:
     """A CSV file by its declaration. Empty fields are null; a value that does not fit fails the query."""
     check_header(spark, path, table)
-    df = spark.read.csv(path, schema=table.schema(), header=True, enforceSchema=True, mode="FAILFAST", quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    df = spark.read.csv(path, schema=table.schema(), header=True, enforceSchema=True, mode="FAILFAST", quote='"', escape='"', multiLine=table.multiline, encoding="UTF-8")
     return df.select(*(checked(F.col(f"`{c.name}`"), c.type, f"{table.name}.{c.name}").alias(c.name, metadata=c.field().metadata) for c in table.columns))
 
 

@@ -158,3 +158,30 @@ def test_streams(spark, tmp_path):
     assert sorted(r[0] for r in spark.table("told").collect()) == [1, 3]
     with pytest.raises(ParseError):
         stream_sql({"t": stream}, "SELECT TOP 1 k FROM t")
+
+
+def test_titled_catalog():
+    from marlstone.queries import TITLED
+    from marlstone.sources.catalog import CatalogMeta
+
+    meta = CatalogMeta.from_json(TITLED.replace('"Index": 0, "Type": "Int32"', '"Index": 9, "Type": "Int32"')).check()
+    assert [t.name for t in meta.tables] == ["nation", "absent"] and (meta.name, meta.version, meta.page_size) == ("test", "1.01", 255)
+    nation = meta.tables[0]
+    assert [c.name for c in nation.columns] == ["n_name", "n_regionkey", "n_nationkey"] and nation.keys() == ["n_nationkey"] and nation.rows == 25
+    assert not meta.tables[1].generate and CatalogMeta.from_json(meta.to_json()) == meta
+
+
+def test_splittable_csv(spark, tmp_path):
+    from marlstone.sources.catalog import ColumnMeta, TableMeta
+    from marlstone.sources.loader import read_csv
+
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in range(5000)))
+    columns = [ColumnMeta("a", "Int32", True, True), ColumnMeta("b", "String")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        whole, parts = (read_csv(spark, str(path), TableMeta("t", columns, multiline=m)) for m in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 < parts.rdd.getNumPartitions()
+        assert sorted(whole.collect()) == sorted(parts.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
